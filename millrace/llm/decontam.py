@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -207,18 +209,18 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
     sc = benchmark.sparkSession.sparkContext
     for k in range(n):
         rows = b.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()
-        yield sc.broadcast([(r.id, r.text) for r in rows])
+        yield sc.broadcast((uuid.uuid4().hex, [(r.id, r.text) for r in rows]))
 
 
-_INDEX: dict[int, _Index] = {}
+_SCANNERS: dict[str, Callable] = {}
 
 
-def _index(shared) -> _Index:
-    key = hash(tuple(shared.value))
-    if key not in _INDEX:
-        _INDEX.clear()
-        _INDEX[key] = _Index(shared.value)
-    return _INDEX[key]
+def _scanner_of(shared) -> Callable:
+    """A worker's scanner of a block, which stays known from task to task."""
+    if (key := shared.value[0]) not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[key] = _scanner(_Index(shared.value[1]))
+    return _SCANNERS[key]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -239,7 +241,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     for shared in _blocks(benchmark, item_col, item_text_col):
 
         def make(shared=shared):
-            scan = _scanner(_index(shared))
+            scan = _scanner_of(shared)
 
             def run(ids, texts):
                 rows = [(d, *hit) for d, hits in zip(ids, scan(texts), strict=True) for hit in sorted(hits)]
@@ -258,7 +260,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     for shared in _blocks(benchmark, item_col, item_text_col):
 
         def make(shared=shared):
-            scan = _scanner(_index(shared))
+            scan = _scanner_of(shared)
             return lambda texts: [[bool(x) for x in scan(texts)]]
 
         docs = map_batches(docs, make, [T.StructField(flag, T.BooleanType())], [text_col]).where(f"not {flag}").drop(flag)

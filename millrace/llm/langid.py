@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,30 +28,60 @@ def unit(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
+_K, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _hashes(c: np.ndarray):
+    """The 64-bit hash of the 1, 2, … LONGEST characters from each place on; what runs over the end is not given."""
+    c = (c.astype(np.uint64) + np.uint64(1)) * _C
+    c ^= c >> np.uint64(29)
+    h = np.zeros(len(c), np.uint64)
+    for length in range(1, LONGEST + 1):
+        if length > len(c):
+            return
+        h = h[: len(c) - length + 1] * _K + c[length - 1 :]
+        yield length, h ^ (h >> np.uint64(32))
+
+
+def _chars(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class Pieces:
-    """The vocabulary by number, and the arcs that it spans over words."""
+    """The vocabulary by hash, and the arcs that it spans over words."""
 
     def __init__(self, pieces: list[str]):
-        self.ids = {p: i + 1 for i, p in enumerate(dict.fromkeys(pieces)) if len(p) <= LONGEST}  # 0: a character that is no piece
+        of = {}
+        for k, p in enumerate(dict.fromkeys(pieces)):
+            if 0 < len(p) <= LONGEST:
+                *_, (_, h) = _hashes(_chars(p))
+                of[int(h[0])] = k + 1  # 0 is for a character that is no piece
+        self.keys = np.array(sorted(of), np.uint64)
+        self.ids = np.array([of[int(x)] for x in self.keys], np.int64)
+        self.gate = np.zeros(1 << 20, bool)
+        self.gate[(self.keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
         self.size = len(pieces) + 1
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word, start, end and piece of every piece that fits anywhere, by end and word."""
-        get = self.ids.get
-        out: list[tuple[int, int, int, int]] = []
-        add = out.append
-        for w, word in enumerate(words):
-            s = START + word
-            n = len(s)
-            for i in range(n):
-                if not get(s[i]):
-                    add((i + 1, w, i, 0))
-                for j in range(i + 1, min(n, i + LONGEST) + 1):
-                    if k := get(s[i:j]):
-                        add((j, w, i, k))
-        a = np.array(out, np.int64).reshape(-1, 4)
-        a = a[np.lexsort((a[:, 1], a[:, 0]))]
-        return a[:, 1], a[:, 2], a[:, 0], a[:, 3]
+        """Word, start, end and piece of every piece that fits anywhere, by end and word. Words are of 40 characters at most, and under a million."""
+        if not words:
+            return (np.zeros(0, np.int64),) * 4
+        c = _chars(START + START.join(words))
+        lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        word = np.repeat(np.arange(len(words)), lens)
+        at = np.arange(len(c)) - np.repeat(lens.cumsum() - lens, lens)
+        left = np.repeat(lens, lens) - at
+        out = []
+        for length, h in _hashes(c):
+            near = np.nonzero(self.gate[(h & np.uint64(0xFFFFF)).astype(np.int64)] & (left[: len(h)] >= length))[0]
+            found = np.minimum(np.searchsorted(self.keys, h[near]), len(self.keys) - 1)
+            hit = self.keys[found] == h[near]
+            near, k = near[hit], self.ids[found[hit]]
+            if length == 1:  # every character is an arc, though it be no piece
+                k, near = np.bincount(near, k, len(c)).astype(np.int64), np.arange(len(c))
+            out.append((at[near] + length) << 46 | word[near] << 26 | at[near] << 20 | k)
+        a = np.sort(np.concatenate(out))
+        return a >> 26 & 0xFFFFF, a >> 20 & 63, a >> 46, a & 0xFFFFF
 
 
 def _steps(end: np.ndarray):
@@ -186,6 +216,9 @@ class Scorer:
             out[1].append(float(e[best] / e.sum()))
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, list[str]], *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep's columns (all, if None) with lang_pred and score: the likeliest language of each whole text and its posterior share.
 
@@ -194,11 +227,13 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, list[str]], *,
     null text, one without a letter, and any text under a model without languages get "und" and 0. Repeated rows stay; an empty
     table gives no rows; columns with the new names are replaced. The model has a fixed size and goes to the workers; no shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float64), model[2]))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *model))
 
     def make():
-        score = Scorer(*shared.value)
-        return lambda texts: score(texts)
+        if (key := shared.value[0]) not in _SCORERS:  # a worker's words stay known from task to task
+            _SCORERS.clear()
+            _SCORERS[key] = Scorer(*shared.value[1:])
+        return _SCORERS[key]
 
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     return map_batches(docs, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], [text_col], names)

@@ -97,6 +97,11 @@ class Join:
                     found.append((t, n / len(other)))
         return found
 
+    def stands(self, t: int, score: float, found: list[tuple[int, float]]) -> bool:
+        """Whether a match gives its label: not if a template that shares half the tokens is met better, as with one license's name within another's."""
+        own = set(self.sets[t])
+        return not any(s > score and 2 * len(own.intersection(self.sets[o])) >= min(len(own), len(self.sets[o])) for o, s in found)
+
 
 def base_places(tokens: list[bytes]) -> tuple[list[int], set[str]]:
     places, labels = [], set()
@@ -137,7 +142,7 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", keep: list[str] |
 
     New columns: n_words, n_base, first_word, last_word (starts of the base places, null without any), base_labels, labels, score (the best
     containment of any template in any block, 1 if a base phrase stands there, else 0) and blocks (label:first word:end word:containment of every
-    block and template, comma-joined). A block is a line with a word, or two or three such lines in a row (a statement may be wrapped). Null and empty texts
+    block and template, comma-joined). A label is left to blocks alone if another license's template fits the block better. A block is a line with a word, or two or three such lines in a row (a statement may be wrapped). Null and empty texts
     have no words; repeated rows stay; an empty table gives no rows; columns with the new names are replaced. The templates have a
     checked size and go to the workers; only token counts are shuffled.
     """
@@ -155,7 +160,8 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", keep: list[str] |
 
         def of(text):
             tokens = words(text)
-            places, labels = base_places(tokens)
+            places, base = base_places(tokens)
+            labels = set(base)
             found: dict[tuple[str, int, int], float] = {}
             if tokens and not rare.isdisjoint(map(join.rank.get, tokens)):
                 at, lines = 0, []
@@ -171,15 +177,16 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", keep: list[str] |
                         if not any(hot[i : i + span]):
                             continue
                         part = lines[i][1] if span == 1 else [w for _, own in lines[i : i + span] for w in own]
-                        for t, s in join.block(part):
+                        for t, s in (every := join.block(part)):
                             if not any((t, j) in met for j in range(i, i + span)):
+                                if join.stands(t, s, every):
+                                    labels.add(join.labels[t])
                                 key = join.labels[t], lines[i][0], lines[i][0] + len(part)
                                 found[key] = max(s, found.get(key, 0.0))
                                 fresh += [(t, j) for j in range(i, i + span)]
                     met.update(fresh)
-            every = labels | {k[0] for k in found}
             return (
-                len(tokens), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(every)),
+                len(tokens), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)),
                 1.0 if places else max(found.values(), default=0.0), ",".join(f"{k}:{a}:{b}:{s:.3f}" for (k, a, b), s in sorted(found.items(), key=lambda x: (x[0][1], x[0]))),
             )
 

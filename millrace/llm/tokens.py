@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -107,7 +109,7 @@ class _Memo(dict):
         return n
 
 
-_BUILT: dict[int, Automaton] = {}
+_BUILT: dict[str, _Memo] = {}
 
 
 def count_tokens(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, pieces: list[str] | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -118,14 +120,13 @@ def count_tokens(docs: DataFrame, *, text_col: str = "text", keep: list[str] | N
     repeated rows stay. Columns named n_words or n_tokens that docs has already are replaced. One pass over the rows, no shuffle.
     """
     pieces = load_pieces(vocabulary) if pieces is None else pieces
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    key = hash(tuple(pieces)) ^ shared.id if hasattr(shared, "id") else hash(tuple(pieces))
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, pieces))
 
     def make():
-        if key not in _BUILT:
+        if (key := shared.value[0]) not in _BUILT:  # a worker's words stay known from task to task
             _BUILT.clear()
-            _BUILT[key] = Automaton(shared.value)
-        memo = _Memo(_BUILT[key])
+            _BUILT[key] = _Memo(Automaton(shared.value[1]))
+        memo = _BUILT[key]
 
         def run(texts):
             parts = [words_of(t) for t in texts]
