@@ -12,9 +12,10 @@ from millrace.llm.common import flat_map_batches, lower_words_of, map_batches, w
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-K = 32
-#: A pair at PERCENT shares LEAST of K sketch values but for about one case in a million (binomial tail); higher overlaps miss less.
-LEAST = 17
+#: Sketch sizes of the first pass, over all documents, and of the second, over those that the first leaves.
+K, K2 = 32, 512
+#: A pair at PERCENT shares so many of the sketch values but for about one case in a million (binomial tail); higher overlaps miss less.
+LEAST, LEAST2 = 17, 393
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 MEMO = 400_000
@@ -103,60 +104,84 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return labels.select("node", F.col("label").alias("component"))
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, percent: int, k: int, least: int) -> DataFrame:
-    """The pairs whose sketches may belong to a link: of the k smallest values of both together, least * size / k are in either."""
-    a = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
-    b = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
+def _lists(sketched: DataFrame, percent: int, k: int, least: int) -> DataFrame:
+    """rep, n, lone, most, value, slot: the inverted lists that each class (rep, n, sketch) enters.
+
+    Values that only one class has lead nowhere. The others are ordered by how many classes have them, and a class enters the lists of its rarest
+    values, as many as any sufficient overlap must touch: with need shared values among held, the first held - need + 1 in
+    this order, of which the class's lone values are the very first. need is exact where both sets are whole in their sketches, and
+    else the binomial bound. Lists are split by set size, in steps of percent, as sets of other sizes cannot link.
+
+    most is the positional filter: where a pair's first shared value stands after so many that are not shared, only a partner of up to so many
+    shingles leaves room for the overlap that a link needs.
+    """
+    values = sketched.select("rep", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
+    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = values.join(shared, "value").groupBy("rep", "n", "held").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))  # at most k values a class
+    need = F.when(F.col("n") * 100 <= k * percent, F.ceil(F.col("n") * percent / 100)).otherwise(F.floor(F.col("held") * least / k)).cast("int")
+    slot = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.001 + 1e-9)).cast("int")  # a little wider, so that rounding parts no pair
+    r = ranked.withColumn("lone", F.col("held") - F.size("v")).withColumn("room", F.col("held") - need + 1 - F.col("lone")).where("room > 0")
+    r = r.select("rep", "n", "lone", F.posexplode(F.slice("v", 1, F.least(F.col("room"), F.size("v")))).alias("at", "x"), slot.alias("slot"))
+    most = F.when(F.col("n") * 100 <= k * percent, F.floor((F.col("n") - F.col("lone") - F.col("at")) * (100 + percent) / percent) - F.col("n")).otherwise(F.lit(1 << 60))
+    return r.select("rep", "n", "lone", most.alias("most"), F.col("x.value").alias("value"), F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"))
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, k: int, least: int) -> DataFrame:
+    """The pairs whose sketches may belong to a link: of the k smallest values of both together, least / k are in either."""
+    a = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
+    b = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), "union"))
-    return pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).withColumn("union", union).where(shared * k >= F.size("union") * least).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").withColumn("union", union).where(shared * k >= F.size("union") * least).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE, k: int = K, least: int = LEAST) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     A document's set holds the distinct runs of five words (A-Z lower-cased) of its whole text, or all its words if they are
     fewer. Documents link when 100 * intersection >= percent * union; component_id is the smallest id that links reach.
 
     1. Documents of equal sets are one class, with the smallest id for its representative: copies, however many, cost one aggregation.
-    2. Each class has a bottom-k sketch: the k smallest hashes of its set. Sketch values that only one class has lead nowhere; of the
-       others a class enters the inverted lists of its rarest ones, and of as many as any sufficient overlap must touch (prefix
-       filter). Lists are split by set size, in steps of percent, as sets of other sizes cannot link.
-    3. In each list the least class is compared with all others, the overlap of the union sketch estimates, and exact sets confirm.
-       Where this leaves a list in more than one component, all pairs across components follow; pairs within one need no proof.
+    2. Each class has a bottom-k sketch: the K smallest hashes of its set. Inverted lists (see _lists) of these tell which classes may have
+       a partner. For those alone whole sets are made, and inverted lists again of the K2 smallest hashes, which are the whole set
+       of most: a class that shares too little with all others enters no list here, however large its family.
+    3. In each list the class with the fewest values of its own, likely the others' original, is compared with all: the union sketch
+       estimates the overlap, exact sets confirm. Where this leaves a list in more than one component, all pairs across components
+       follow; pairs within one need no proof.
     4. Labels spread over the links until they settle, in the shared folder.
 
     Texts that are null, empty or blank have an empty set, link with nothing and are kept. A row without an id takes no part in
     links; its component_id is null and it is kept. Rows that repeat an id share its component. Other columns are ignored; an empty
     table gives no rows.
     """
-    rows = written(sketches(docs, id_col=id_col, text_col=text_col, size=size, k=k), "sketches")
+    rows = written(sketches(docs, id_col=id_col, text_col=text_col, size=size), "sketches")
     classes = written(rows.where("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    values = classes.select("rep", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    hits = values.join(shared, "value")
-    prefix = F.col("held") - F.floor(F.col("held") * least / k).cast("int") + 1
-    ranked = hits.groupBy("rep", "n", "held").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))  # at most k values a class
-    room = prefix - (F.col("held") - F.size("v"))
-    slot = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.001 + 1e-9)).cast("int")  # a little wider, so that rounding parts no pair
-    listed = ranked.withColumn("room", room).where("room > 0").select("rep", "n", F.explode(F.slice("v", 1, F.least(F.col("room"), F.size("v")))).alias("x"), slot.alias("slot")).select("rep", "n", F.col("x.value").alias("value"), F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"))
-    listed = written(listed, "lists")
-    heads = listed.groupBy("value", "slot").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    star = listed.join(heads, ["value", "slot"]).where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    rough = written(_lists(classes, percent, K, LEAST).select("rep", "value", "slot"), "lists")
+    many = rough.groupBy("value", "slot").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("value", "slot")
+    suspects = rough.join(many, ["value", "slot"]).select("rep").distinct()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    first = written(_estimated(star, classes, percent, k, least), "pairs")
-    links = written(_confirmed(first, _sets(texts, _nodes(first), size), percent), "links")
+    sets = _sets(texts, suspects, size)
+    # rows that repeat an id with other texts each bring their set; a link of any is a link of the id
+    fine = _lists(sets.select("rep", F.size("hashes").cast("long").alias("n"), F.slice("hashes", 1, K2).alias("sketch")), percent, K2, LEAST2)
+    fine = written(fine, "lists")
+    # what no member of a list is small enough for leaves it
+    least = fine.groupBy("value", "slot").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    fine = written(fine.join(least, ["value", "slot"]).where("most >= least").drop("least", "members"), "lists")
+    heads = fine.groupBy("value", "slot").agg(F.min(F.struct("lone", "rep", "n", "most")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").select("value", "slot", F.col("head.rep").alias("a"), F.col("head.n").alias("na"), F.col("head.most").alias("ma"))
+    star = fine.join(heads, ["value", "slot"]).where("rep <> a and n <= ma and na <= most").select("a", F.col("rep").alias("b")).distinct()
+    first = written(_estimated(star, classes, K, LEAST), "pairs")
+    links = written(_confirmed(first, sets, percent), "links")
     found = components(links)
-    placed = listed.join(heads.select("value", "slot"), ["value", "slot"]).join(found, listed.rep == found.node, "left").select("value", "slot", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    placed = fine.join(heads.select("value", "slot"), ["value", "slot"]).join(found, fine.rep == found.node, "left").select("value", "slot", "rep", "n", "most", F.coalesce("component", "rep").alias("component"))
     placed = written(placed, "placed")
     mixed = placed.groupBy("value", "slot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value", "slot")
     open_ = placed.join(mixed, ["value", "slot"])
-    x = open_.select("value", "slot", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = open_.select("value", "slot", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = x.join(y, ["value", "slot"]).where("a < b and ca <> cb").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b").distinct()
-    second = written(_estimated(across, classes, percent, k, least).join(first, ["a", "b"], "left_anti"), "pairs")
+    x = open_.select("value", "slot", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("component").alias("ca"))
+    y = open_.select("value", "slot", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"))
+    across = x.join(y, ["value", "slot"]).where("a < b and ca <> cb and na <= mb and nb <= ma").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b").distinct()
+    second = written(_estimated(across, classes, K, LEAST), "pairs")
     if second.limit(1).count():
-        links = written(links.unionAll(_confirmed(second, _sets(texts, _nodes(second), size), percent)), "links")
+        links = written(links.unionAll(_confirmed(second, sets, percent)), "links")
         found = components(links)
     by_set = classes.select("set", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("component", "rep").alias("component"))
     out = rows.select("id", "n", "set").join(by_set, "set", "left")
@@ -164,10 +189,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 
 
-def _nodes(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-
-
 def _sets(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """rep and the whole shingle set of the documents in nodes."""
     schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
