@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 
 #: A word, as Spark's and DuckDB's regular expressions write it.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows that a Python worker turns into objects at once.
+PART_BYTES = 4 << 20
 
 _ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.DoubleType(): pa.float64(), T.StringType(): pa.string(), T.BooleanType(): pa.bool_(), T.BinaryType(): pa.binary(), T.ArrayType(T.LongType()): pa.list_(pa.int64())}
 
@@ -69,6 +72,24 @@ def _importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH", ""), root]))
 
 
+def _parts(b: pa.RecordBatch, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about so many bytes: a bound on what a worker holds as Python objects. Rows stay whole."""
+    rows = max(1, int(b.num_rows * most / max(b.nbytes, most)))
+    for a in range(0, b.num_rows, rows):
+        yield b.slice(a, rows)
+
+
+def _array(values, kind: pa.DataType) -> pa.Array:
+    return values if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
+def lists_of(arrays: list[np.ndarray]) -> pa.Array:
+    """Arrays of longs as one Arrow column of lists, without a Python object for each number."""
+    offsets = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([len(a) for a in arrays], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable], fields: list[T.StructField], inputs: list[str], keep: list[str] | None = None) -> DataFrame:
     """Columns computed from whole rows on Python workers, one Arrow batch at a time.
 
@@ -83,9 +104,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], fields: list[T.Stru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for b in batches:
-            if b.num_rows:
-                got = fn(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs))
-                arrays = [b.column(b.schema.get_field_index(c)) for c in names] + [pa.array(x, k) for x, k in zip(got, kinds, strict=True)]
+            for part in _parts(b):
+                got = fn(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in inputs))
+                arrays = [part.column(part.schema.get_field_index(c)) for c in names] + [_array(x, k) for x, k in zip(got, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, *(f.name for f in fields)])
 
     _importable(df.sparkSession)
@@ -100,9 +121,9 @@ def flat_map_batches(df: DataFrame, make: Callable[[], Callable], schema: T.Stru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for b in batches:
-            if b.num_rows:
-                got = fn(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(got, kinds, strict=True)], names=[f.name for f in schema])
+            for part in _parts(b):
+                got = fn(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in inputs))
+                yield pa.RecordBatch.from_arrays([_array(x, k) for x, k in zip(got, kinds, strict=True)], names=[f.name for f in schema])
 
     _importable(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in inputs]).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import flat_map_batches, lower_words_of, map_batches, written
+from millrace.llm.common import flat_map_batches, lists_of, lower_words_of, map_batches, written
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -18,7 +18,7 @@ K, K2 = 32, 512
 LEAST, LEAST2 = 17, 393
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-MEMO = 400_000
+MEMO = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,8 +72,8 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             for s in shingles(texts):
                 out[0].append(len(s))
                 out[1].append(xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                out[2].append(s[:k].tolist())
-            return out
+                out[2].append(s[:k])
+            return out[0], out[1], lists_of(out[2])
 
         return run
 
@@ -195,7 +195,7 @@ def _sets(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
     def make():
         shingles = Shingler(size)
-        return lambda ids, t: [ids, [s.tolist() for s in shingles(t)]]
+        return lambda ids, t: [ids, lists_of(list(shingles(t)))]
 
     return written(flat_map_batches(texts.join(nodes, F.col("id") == F.col("rep"), "left_semi"), make, schema, ["id", "text"]), "sets")
 
