@@ -1,5 +1,6 @@
 """Millrace: an analytics engine for agent data, built on PySpark's DataFrame and SQL APIs."""
 
-from millrace.session import Engine, build_session
+from millrace.operators.engine import Engine
+from millrace.session import build_session
 
 __all__ = ["Engine", "build_session"]

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from millrace.plans import relational  # noqa: F401
+    from millrace.plans import changes, relational, scalars, searches, streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -1,7 +1,10 @@
-"""Sessions and the engine facade."""
+"""Sessions and the folder that a job's driver and executors share."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,11 +23,25 @@ def build_session(app: str = "millrace", cores: int | str = "*", shuffle_partiti
     return b.getOrCreate()
 
 
-class Engine:
-    """A SparkSession with the dialect's functions at hand; see millrace.functions."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, where it is unset, gets one of its own."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
 
-    def sql(self, text: str, args: list | dict | None = None) -> DataFrame:
-        return self.spark.sql(text, args=args) if args is not None else self.spark.sql(text)
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: computed once, and readable after executors are lost."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
