@@ -9,7 +9,10 @@ from millrace.functions.dialect import call, install, sum_double
 from millrace.operators.relational import analyze, over_groups
 from millrace.plans.registry import query, table
 
-N = F.count(F.lit(1))
+
+
+def rows():
+    return F.count(F.lit(1))
 
 
 def ts(text: str):
@@ -31,7 +34,7 @@ def s02(spark, d):
 
 @query("S03_equality_miss", "SELECT count(*) AS n FROM orders WHERE o_orderkey = -1")
 def s03(spark, d):
-    return table(spark, d, "orders").where("o_orderkey = -1").agg(N.alias("n"))
+    return table(spark, d, "orders").where("o_orderkey = -1").agg(rows().alias("n"))
 
 
 @query("S04_primary_key_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 7")
@@ -56,13 +59,13 @@ def s07(spark, d):
 
 @query("S08_count_star", "SELECT count(*) AS n FROM lineitem")
 def s08(spark, d):
-    return table(spark, d, "lineitem").agg(N.alias("n"))
+    return table(spark, d, "lineitem").agg(rows().alias("n"))
 
 
 @query("S09_derived_table", "SELECT s, count(*) AS n FROM (SELECT o_orderstatus AS s, o_totalprice AS p FROM orders WHERE o_totalprice > 1000) a WHERE p < 200000 GROUP BY s")
 def s09(spark, d):
     a = table(spark, d, "orders").where("o_totalprice > 1000").select(F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("p"))
-    return a.where("p < 200000").groupBy("s").agg(N.alias("n"))
+    return a.where("p < 200000").groupBy("s").agg(rows().alias("n"))
 
 
 @query("S10_cte", "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 100000) SELECT b.o_custkey, count(*) AS n FROM big b JOIN big c ON b.o_custkey = c.o_custkey GROUP BY b.o_custkey")
@@ -251,7 +254,7 @@ def j11(spark, d):
     c = table(spark, d, "customer").join(geo, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
     o = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "n_name", "r_name")
     x = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return x.groupBy("r_name", "n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), N.alias("n"))
+    return x.groupBy("r_name", "n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), rows().alias("n"))
 
 
 @query("J12_empty_side", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey < 0) ON o_custkey = c_custkey")
@@ -261,7 +264,7 @@ def j12(spark, d):
 
 @query("J13_null_keys", "SELECT a.k, count(*) AS n FROM (SELECT nullif(p_size, 1) AS k FROM part) a JOIN (SELECT nullif(p_size, 1) AS j FROM part) b ON a.k = b.j GROUP BY a.k")
 def j13(spark, d):
-    sizes = table(spark, d, "part").select(F.nullif(F.col("p_size"), F.lit(1)).alias("k")).groupBy("k").agg(N.alias("m"))  # joined as counts: the pairs of equal sizes are never made
+    sizes = table(spark, d, "part").select(F.nullif(F.col("p_size"), F.lit(1)).alias("k")).groupBy("k").agg(rows().alias("m"))  # joined as counts: the pairs of equal sizes are never made
     return sizes.join(sizes.select(F.col("k").alias("j"), F.col("m").alias("w")), F.col("k") == F.col("j")).select("k", (F.col("m") * F.col("w")).alias("n"))
 
 
@@ -270,12 +273,12 @@ def j13(spark, d):
 
 @query("A01_global", "SELECT count(*) AS n, round(sum(l_quantity), 2) AS s, round(avg(l_extendedprice), 4) AS a, min(l_shipdate) AS lo, max(l_shipdate) AS hi FROM lineitem")
 def a01(spark, d):
-    return table(spark, d, "lineitem").agg(N.alias("n"), F.round(F.sum("l_quantity"), 2).alias("s"), F.round(F.avg("l_extendedprice"), 4).alias("a"), F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"))
+    return table(spark, d, "lineitem").agg(rows().alias("n"), F.round(F.sum("l_quantity"), 2).alias("s"), F.round(F.avg("l_extendedprice"), 4).alias("a"), F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"))
 
 
 @query("A01_empty_global", "SELECT count(*) AS n, sum(CAST(l_linenumber AS DOUBLE)) AS s, max(l_quantity) AS m FROM lineitem WHERE l_orderkey < 0")
 def a01e(spark, d):
-    return table(spark, d, "lineitem").where("l_orderkey < 0").agg(N.alias("n"), sum_double(F.col("l_linenumber")).alias("s"), F.max("l_quantity").alias("m"))
+    return table(spark, d, "lineitem").where("l_orderkey < 0").agg(rows().alias("n"), sum_double(F.col("l_linenumber")).alias("s"), F.max("l_quantity").alias("m"))
 
 
 @query(
@@ -286,19 +289,19 @@ def a01e(spark, d):
 def a02(spark, d):
     return (
         table(spark, d, "lineitem").where(F.col("l_shipdate") <= ts("2000-09-02")).groupBy("l_returnflag", "l_linestatus")
-        .agg(F.round(F.sum("l_quantity"), 4).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), N.alias("n"))
+        .agg(F.round(F.sum("l_quantity"), 4).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), rows().alias("n"))
         .orderBy("l_returnflag", "l_linestatus")
     )
 
 
 @query("A03_group_int_key", "SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 2) AS s FROM lineitem GROUP BY l_suppkey")
 def a03(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(N.alias("n"), F.round(F.sum("l_quantity"), 2).alias("s"))
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(rows().alias("n"), F.round(F.sum("l_quantity"), 2).alias("s"))
 
 
 @query("A04_count_distinct", "SELECT o_orderstatus, count(*) AS n, count(nullif(o_orderpriority, '1-URGENT')) AS c, count(DISTINCT o_custkey) AS u FROM orders GROUP BY o_orderstatus")
 def a04(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(N.alias("n"), F.count(F.nullif("o_orderpriority", F.lit("1-URGENT"))).alias("c"), F.count_distinct("o_custkey").alias("u"))
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(rows().alias("n"), F.count(F.nullif("o_orderpriority", F.lit("1-URGENT"))).alias("c"), F.count_distinct("o_custkey").alias("u"))
 
 
 @query("A05_sum_double", "SELECT p_brand, sum(CAST(p_size AS DOUBLE)) AS s, sum(CAST(nullif(p_size, p_size) AS DOUBLE)) AS none FROM part GROUP BY p_brand")
@@ -318,12 +321,12 @@ def a07(spark, d):
 
 @query("A08_sum_distinct", "SELECT l_returnflag, sum(DISTINCT CAST(l_linenumber AS DOUBLE)) AS s, round(avg(DISTINCT l_quantity), 6) AS a, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 def a08(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum_distinct(F.col("l_linenumber").cast("double")).alias("s"), F.round(F.expr("avg(DISTINCT l_quantity)"), 6).alias("a"), N.alias("n"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum_distinct(F.col("l_linenumber").cast("double")).alias("s"), F.round(F.expr("avg(DISTINCT l_quantity)"), 6).alias("a"), rows().alias("n"))
 
 
 @query("A09_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12 AND sum(o_totalprice) > 1000000")
 def a09(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(N.alias("n"), F.sum("o_totalprice").alias("s")).where("n > 12 and s > 1000000").select("o_custkey", "n")
+    return table(spark, d, "orders").groupBy("o_custkey").agg(rows().alias("n"), F.sum("o_totalprice").alias("s")).where("n > 12 and s > 1000000").select("o_custkey", "n")
 
 
 @query("A10_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
@@ -356,42 +359,44 @@ def a12(spark, d):
 
 # --- windows ------------------------------------------------------------------------------------------------------------
 
-BY_TIME = Window.partitionBy("user_id").orderBy("ts")
+def by_user(order: str = "ts"):
+    return Window.partitionBy("user_id").orderBy(order)
+
+
+
 _OVER = "OVER (PARTITION BY user_id ORDER BY ts)"
 
 
 def _window(name: str, sql: str, **columns):
     @query(name, f"SELECT event_id, {sql} FROM events")
     def run(spark, d):
-        return table(spark, d, "events").select("event_id", *[c.alias(n) for n, c in columns.items()])
+        return table(spark, d, "events").select("event_id", *[c().alias(n) for n, c in columns.items()])
 
     return run
 
 
-_window("W01_row_number", f"row_number() {_OVER} AS rn", rn=F.row_number().over(BY_TIME))
-_day = Window.partitionBy("user_id").orderBy("event_type")
-_window("W02_rank", "rank() OVER (PARTITION BY user_id ORDER BY event_type) AS r", r=F.rank().over(_day))
-_window("W03_dense_rank", "dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS r", r=F.dense_rank().over(_day))
-_window("W04_lag", f"lag(value, 1) {_OVER} AS a, lag(value, 3, -1.0) {_OVER} AS b", a=F.lag("value", 1).over(BY_TIME), b=F.lag("value", 3, -1.0).over(BY_TIME))
-_window("W05_lead", f"lead(value, 1) {_OVER} AS a, lead(event_type, 2, 'none') {_OVER} AS b", a=F.lead("value", 1).over(BY_TIME), b=F.lead("event_type", 2, "none").over(BY_TIME))
-_window("W06_first_value", f"first_value(value) {_OVER} AS f", f=F.first_value("value").over(BY_TIME))
-_window("W07_last_value", "last_value(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x", x=F.last_value("value").over(BY_TIME.rowsBetween(0, Window.unboundedFollowing)))
-_window("W08_nth_value", f"nth_value(value, 3) {_OVER} AS x", x=F.nth_value("value", 3).over(BY_TIME))
-_window("W09_count_over", f"count(*) {_OVER} AS n, count(*) OVER (PARTITION BY user_id) AS total", n=N.over(BY_TIME), total=N.over(Window.partitionBy("user_id")))
-_window("W10_sum_over", f"round(sum(value) {_OVER}, 4) AS s", s=F.round(F.sum("value").over(BY_TIME), 4))
-_window("W11_avg_over", f"round(avg(value) {_OVER}, 9) AS a", a=F.round(F.avg("value").over(BY_TIME), 9))
-_window("W12_min_max", f"min(value) {_OVER} AS lo, max(value) {_OVER} AS hi", lo=F.min("value").over(BY_TIME), hi=F.max("value").over(BY_TIME))
+_window("W01_row_number", f"row_number() {_OVER} AS rn", rn=lambda: F.row_number().over(by_user()))
+_window("W02_rank", "rank() OVER (PARTITION BY user_id ORDER BY event_type) AS r", r=lambda: F.rank().over(by_user("event_type")))
+_window("W03_dense_rank", "dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS r", r=lambda: F.dense_rank().over(by_user("event_type")))
+_window("W04_lag", f"lag(value, 1) {_OVER} AS a, lag(value, 3, -1.0) {_OVER} AS b", a=lambda: F.lag("value", 1).over(by_user()), b=lambda: F.lag("value", 3, -1.0).over(by_user()))
+_window("W05_lead", f"lead(value, 1) {_OVER} AS a, lead(event_type, 2, 'none') {_OVER} AS b", a=lambda: F.lead("value", 1).over(by_user()), b=lambda: F.lead("event_type", 2, "none").over(by_user()))
+_window("W06_first_value", f"first_value(value) {_OVER} AS f", f=lambda: F.first_value("value").over(by_user()))
+_window("W07_last_value", "last_value(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x", x=lambda: F.last_value("value").over(by_user().rowsBetween(0, Window.unboundedFollowing)))
+_window("W08_nth_value", f"nth_value(value, 3) {_OVER} AS x", x=lambda: F.nth_value("value", 3).over(by_user()))
+_window("W09_count_over", f"count(*) {_OVER} AS n, count(*) OVER (PARTITION BY user_id) AS total", n=lambda: rows().over(by_user()), total=lambda: rows().over(Window.partitionBy("user_id")))
+_window("W10_sum_over", f"round(sum(value) {_OVER}, 4) AS s", s=lambda: F.round(F.sum("value").over(by_user()), 4))
+_window("W11_avg_over", f"round(avg(value) {_OVER}, 9) AS a", a=lambda: F.round(F.avg("value").over(by_user()), 9))
+_window("W12_min_max", f"min(value) {_OVER} AS lo, max(value) {_OVER} AS hi", lo=lambda: F.min("value").over(by_user()), hi=lambda: F.max("value").over(by_user()))
 _window(
     "W13_rows_frame", "round(sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS s, count(*) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n",
-    s=F.round(F.sum("value").over(BY_TIME.rowsBetween(-2, 1)), 4), n=N.over(BY_TIME.rowsBetween(Window.unboundedPreceding, -1)),
+    s=lambda: F.round(F.sum("value").over(by_user().rowsBetween(-2, 1)), 4), n=lambda: rows().over(by_user().rowsBetween(Window.unboundedPreceding, -1)),
 )
-_by_id = Window.partitionBy("user_id").orderBy("event_id")
-_window("W13_range_frame", "count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING) AS n", n=N.over(_by_id.rangeBetween(-500, 500)))
+_window("W13_range_frame", "count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING) AS n", n=lambda: rows().over(by_user("event_id").rangeBetween(-500, 500)))
 
 
 @query("W14_groups_frame", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_type GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM events")
 def w14(spark, d):
-    return over_groups(table(spark, d, "events").select("event_id", "user_id", "event_type"), ["user_id"], ["event_type"], -1, 0, n=N).select("event_id", "n")
+    return over_groups(table(spark, d, "events").select("event_id", "user_id", "event_type"), ["user_id"], ["event_type"], -1, 0, n=rows()).select("event_id", "n")
 
 
 # --- sorts and limits -----------------------------------------------------------------------------------------------------
@@ -414,7 +419,7 @@ def o03(spark, d):
 
 @query("O05_limit", "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders LIMIT 10)")
 def o05(spark, d):
-    return table(spark, d, "orders").select("o_orderkey").limit(10).agg(N.alias("n"))
+    return table(spark, d, "orders").select("o_orderkey").limit(10).agg(rows().alias("n"))
 
 
 @query("O08_offset", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 30")
