@@ -90,7 +90,7 @@ def rate_limit(df: DataFrame, key: str, ts_col: str, id_col: str, limit: int, se
 
 
 def rate_limit_stream(df: DataFrame, key: str, ts_col: str, id_col: str, limit: int, seconds: int) -> DataFrame:
-    """The same limiter over a stream: a key's state is its last allowed stamps, which time out when the window has passed."""
+    """The same limiter over a stream: a key's state is its last allowed stamps, which go when the watermark has passed the window."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -102,10 +102,11 @@ def rate_limit_stream(df: DataFrame, key: str, ts_col: str, id_col: str, limit:
         ms = (rows[ts_col].astype("datetime64[us]").astype("int64") // 1000).tolist()
         flags = allowed(ms, limit, seconds * 1000, recent)
         state.update((list(recent),))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(ms[-1] + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({id_col: rows[id_col].to_numpy(), key: rows[key].to_numpy(), "allowed": flags})
 
-    return df.groupBy(key).applyInPandasWithState(run, f"{id_col} {kind}, {key} {df.schema[key].dataType.simpleString()}, allowed boolean", "recent array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    df = df.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, f"{seconds} seconds")
+    return df.groupBy(key).applyInPandasWithState(run, f"{id_col} {kind}, {key} {df.schema[key].dataType.simpleString()}, allowed boolean", "recent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None] | str, checkpoint: str, mode: str = "append", timeout: int = 600) -> None:
