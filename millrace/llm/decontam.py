@@ -84,6 +84,7 @@ class _Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.tokens: dict[int, list[str]] = {}
         self.total: dict[int, int] = {}
+        self.renamed: dict[int, set[int]] = {}  # windows with literals enough when names are slots
         self.at: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # hash: item, start, names are slots
         lengths = set()
         words = _Words()
@@ -96,16 +97,16 @@ class _Index:
             first = np.zeros(len(ids), bool)
             first[0] = True
             ph, pk, nh, nk = words.canonical(ids, first)
-            starts = set()
+            starts, named = set(), set()
             for v, (h, kind) in enumerate(((ph, pk), (nh, nk))):
                 w, ok = _windows(h, kind, length)
                 for i in np.nonzero(ok)[0].tolist():
-                    starts.add(i)
+                    (named if v else starts).add(i)
                     if v == 0 or w[i] != wp[i]:
                         self.at[int(w[i])].append((k, i, v))
                 wp = w
             if starts:
-                self.tokens[k], self.total[k] = tokens, len(starts)
+                self.tokens[k], self.total[k], self.renamed[k] = tokens, len(starts), named
                 lengths.add(length)
         self.lengths = sorted(lengths)
         self.ids = [i for i, _ in items]
@@ -144,7 +145,14 @@ def _consistent(index: _Index, hits: list[tuple[int, int, int, int]], tokens: li
                     back |= {b: a for a, b in pairs}
                     found[k].add(i)
         changed[k] = max(changed[k], sum(a != b for a, b in to.items()))
-    return [(index.ids[k], len(s), index.total[k], len(s) / index.total[k], changed[k]) for k, s in found.items() if len(s) >= THRESHOLD * index.total[k]]
+    out = []
+    for k, s in found.items():
+        n, total = len(s), index.total[k]
+        if 2 * len(index.renamed[k]) >= total >= 2 * LITERALS:  # other names leave some windows too few literals to be looked for
+            n, total = max((n, total), (len(s & index.renamed[k]), len(index.renamed[k])), key=lambda x: x[0] / x[1])
+        if n >= THRESHOLD * total:
+            out.append((index.ids[k], n, total, n / total, changed[k]))
+    return out
 
 
 def _scanner(index: _Index):
@@ -229,7 +237,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     Texts become tokens (numbers, runs of letters, unit signs), lower-cased. Numbers and units beside a number become typed
     placeholders; capitalised words do in one of two readings (in the other they are words, as at a sentence's start). Windows of five tokens
     with three literal ones at least are joined by hash, and slot values must map one to one (see _consistent). A document
-    holds an item if 0.8 of the item's windows are found so. An item of three or four tokens is one window; a shorter one, or one
+    holds an item if 0.8 of the item's windows are found so, or 0.8 of those that have three literals even with all names as placeholders (half of all at least). An item of three or four tokens is one window; a shorter one, or one
     without a window of literals enough, matches nothing. Null and empty texts match nothing; repeated rows give repeated results;
     an empty table on either side gives no rows. Other columns are ignored.
 
