@@ -15,6 +15,8 @@ from millrace.llm.common import flat_map_batches, map_batches
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 THRESHOLD = 0.8
+#: Words within a run of over three lines, for each word of the template, at most.
+SPREAD = 2
 #: Template words at most: the bound on what goes to every worker.
 MOST_WORDS = 2_000_000
 
@@ -57,6 +59,8 @@ class Join:
         self.sets: list[list[int]] = []
         self.labels: list[str] = []
         self.need: list[int] = []
+        self.length: list[int] = []
+        self.members: list[set[int]] = []
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for label, text in templates:
             own = sorted({self.rank[w] for w in words(text)})
@@ -68,6 +72,8 @@ class Join:
             self.sets.append(own)
             self.labels.append(label)
             self.need.append(need)
+            self.length.append(len(words(text)))
+            self.members.append(set(own))
 
     def block(self, tokens: list[bytes]) -> list[tuple[int, float]]:
         """(template, containment) of every template that the block meets."""
@@ -97,6 +103,25 @@ class Join:
                     found.append((t, n / len(other)))
         return found
 
+    def runs(self, t: int, lines: list[tuple[int, int, set[int]]]) -> list[tuple[int, int, int]]:
+        """(shared tokens, first line, last line) of the runs of lines that meet a template: from every line the shortest run that does.
+
+        lines: first word, end word and ranks of each line. Lines within a run (all but its first and last, which also hold what
+        stands beside the statement) have at most SPREAD words for each of the template's: words scattered over a text are no statement. Runs of three lines may have any.
+        """
+        own, need, most, found = self.members[t], self.need[t], SPREAD * self.length[t], []
+        held = [(k, shared) for k, (_, _, r) in enumerate(lines) if (shared := r & own)]
+        for at, (i, shared) in enumerate(held):
+            seen = set(shared)
+            for j, more in held[at:]:
+                if j - i > 2 and lines[j][0] - lines[i][1] > most:
+                    break
+                seen |= more
+                if len(seen) >= need:
+                    found.append((len(seen), i, j))
+                    break
+        return found
+
     def stands(self, t: int, score: float, found: list[tuple[int, float]]) -> bool:
         """Whether a match gives its label: not if a template that shares half the tokens is met better, as with one license's name within another's."""
         own = set(self.sets[t])
@@ -142,7 +167,7 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", keep: list[str] |
 
     New columns: n_words, n_base, first_word, last_word (starts of the base places, null without any), base_labels, labels, score (the best
     containment of any template in any block, 1 if a base phrase stands there, else 0) and blocks (label:first word:end word:containment of every
-    block and template, comma-joined). A label is left to blocks alone if another license's template fits the block better. A block is a line with a word, or two or three such lines in a row (a statement may be wrapped). Null and empty texts
+    block and template, comma-joined). A label is left to blocks alone if another license's template fits the block better. A block is a line with a word, or as many such lines in a row as a template needs (a statement may be wrapped; see Join.runs). Null and empty texts
     have no words; repeated rows stay; an empty table gives no rows; columns with the new names are replaced. The templates have a
     checked size and go to the workers; only token counts are shuffled.
     """
@@ -164,27 +189,25 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", keep: list[str] |
             labels = set(base)
             found: dict[tuple[str, int, int], float] = {}
             if tokens and not rare.isdisjoint(map(join.rank.get, tokens)):
-                at, lines = 0, []
-                for line in text.split("\n"):
+                every = join.block(tokens)  # a template that the whole text does not meet is met by no block
+                at, lines, parts = 0, [], []
+                for line in text.split("\n") if every else ():
                     if own := words(line):
-                        lines.append((at, own))
+                        lines.append((at, at + len(own), {r for r in map(join.rank.get, own) if r is not None}))
+                        parts.append(own)
                         at += len(own)
-                hot = [not rare.isdisjoint(map(join.rank.get, own)) for _, own in lines]
-                met: set[tuple[int, int]] = set()  # a template and a line that is in a smaller block which meets it
-                for span in (1, 2, 3):
-                    fresh = []
-                    for i in range(len(lines) - span + 1):
-                        if not any(hot[i : i + span]):
+                for t, _ in every:
+                    met: set[int] = set()  # lines in a shorter run which meets the template
+                    for _, i, j in sorted(join.runs(t, lines), key=lambda x: (x[2] - x[1], x[1])):
+                        if not met.isdisjoint(range(i, j + 1)):
                             continue
-                        part = lines[i][1] if span == 1 else [w for _, own in lines[i : i + span] for w in own]
-                        for t, s in (every := join.block(part)):
-                            if not any((t, j) in met for j in range(i, i + span)):
-                                if join.stands(t, s, every):
-                                    labels.add(join.labels[t])
-                                key = join.labels[t], lines[i][0], lines[i][0] + len(part)
-                                found[key] = max(s, found.get(key, 0.0))
-                                fresh += [(t, j) for j in range(i, i + span)]
-                    met.update(fresh)
+                        met.update(range(i, j + 1))
+                        block = join.block([w for own in parts[i : j + 1] for w in own])
+                        s = dict(block)[t]
+                        if join.stands(t, s, block):
+                            labels.add(join.labels[t])
+                        key = join.labels[t], lines[i][0], lines[j][1]
+                        found[key] = max(s, found.get(key, 0.0))
             return (
                 len(tokens), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)),
                 1.0 if places else max(found.values(), default=0.0), ",".join(f"{k}:{a}:{b}:{s:.3f}" for (k, a, b), s in sorted(found.items(), key=lambda x: (x[0][1], x[0]))),

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -446,6 +447,22 @@ def test_license_edges(odd, empty, spark):
     assert r.labels == "gpl" and r.base_labels == "gpl"
 
 
+def test_license_wrapped_at_any_width(spark):
+    """Statements in the usual wrapping of license files, in comments, and wrapped at every width down to a word a line; scattered words are none."""
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+    rows = [("mit", mit), ("mit", "\n *\n".join(f" * {x}" for x in mit.split("\n")))]
+    rows += [(label, "Some words before.\n" + textwrap.fill(text, width, break_long_words=False) + "\nand after it") for label, text in license.TEMPLATES for width in (1, 20, 40, 60, 80)]
+    rows += [("", "\n".join(f"{w} and then a line of other words" for w in license.TEMPLATES[3][1].split()))]
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    for r in license.scan_licenses(d).collect():
+        assert set(filter(None, [rows[r.doc_id][0]])) <= set(filter(None, r.labels.split(","))) and (rows[r.doc_id][0] or not r.labels), (rows[r.doc_id], r)
+
+
 # --- 10 quality ---------------------------------------------------------------------------------------------------
 
 
