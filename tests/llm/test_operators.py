@@ -263,6 +263,21 @@ def test_rules_guarantee(spark):
     assert all(x.kept != x.base_failed for x in few)
 
 
+def test_rules_few_labels_suffice(spark):
+    """A few hundred good documents give a stratum its cutoffs, if a rule rejects none of them; junk without a label goes, too."""
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(900)]
+    good = [(i, " ".join(r.choice(vocabulary) for _ in range(80))) for i in range(320)]
+    bad = [(i, " ".join(r.choice(vocabulary) + "#" * (k % 2) for k in range(80))) for i in range(320, 380)]
+    d = spark.createDataFrame(good + bad, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 320)) for i, _ in good + bad[:30]], "doc_id bigint, quality int")
+    out = quality_rules.quality_rules(d, labels).collect()
+    assert sum(not x.kept for x in out if x.doc_id < 320) <= 0.02 * 320 and not any(x.kept for x in out if x.doc_id >= 320)
+    assert quality_rules.least_good() == 203
+    fewer = quality_rules.quality_rules(d, labels.where("doc_id < 150 or doc_id >= 320")).collect()
+    assert all(x.kept != x.base_failed for x in fewer)
+
+
 # --- 6 near-duplicates --------------------------------------------------------------------------------------------
 
 
