@@ -78,36 +78,56 @@ def _windows(h: np.ndarray, kind: np.ndarray, length: int) -> tuple[np.ndarray,
     return _mix(out ^ np.uint64(length)), lit >= min(LITERALS, length)
 
 
+def _first_length(kind: np.ndarray, least: int) -> int | None:
+    """The shortest windows, from least on, of which one has literals enough; None if not even the whole item has."""
+    literal = np.concatenate([[0], (kind == 0).cumsum()])
+    for n in range(least, len(kind) + 1):
+        if (literal[n:] - literal[:-n]).max() >= min(LITERALS, n):
+            return n
+    return None
+
+
 class _Index:
-    """The template windows of a block of benchmark items."""
+    """The template windows of a block of benchmark items.
+
+    An item's windows have WINDOW tokens, or so many more that one of them has literals enough. Those that have are counted; those that have them with names as
+    slots, too, are looked up in both readings. An item all of whose windows lack them then is looked up by longer windows in addition.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         self.tokens: dict[int, list[str]] = {}
-        self.total: dict[int, int] = {}
+        self.canonical: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # hashes of the tokens, names as words and as slots
+        self.length: dict[int, int] = {}
+        self.starts: dict[int, list[int]] = {}
         self.renamed: dict[int, set[int]] = {}  # windows with literals enough when names are slots
-        self.at: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # hash: item, start, names are slots
+        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)  # hash: item, start
         lengths = set()
         words = _Words()
         for k, (_, text) in enumerate(items):
             tokens = TOKEN.findall(text or "")
-            length = min(WINDOW, len(tokens))
-            if length < LITERALS:
+            if len(tokens) < LITERALS:
                 continue
             ids = np.fromiter((words[t] for t in tokens), np.int64, len(tokens))
             first = np.zeros(len(ids), bool)
             first[0] = True
             ph, pk, nh, nk = words.canonical(ids, first)
-            starts, named = set(), set()
-            for v, (h, kind) in enumerate(((ph, pk), (nh, nk))):
-                w, ok = _windows(h, kind, length)
-                for i in np.nonzero(ok)[0].tolist():
-                    (named if v else starts).add(i)
-                    if v == 0 or w[i] != wp[i]:
-                        self.at[int(w[i])].append((k, i, v))
-                wp = w
-            if starts:
-                self.tokens[k], self.total[k], self.renamed[k] = tokens, len(starts), named
-                lengths.add(length)
+            shortest = min(WINDOW, len(tokens))
+            length = _first_length(pk, shortest)
+            if length is None:
+                continue
+            longer = _first_length(nk, length)
+            for n, readings in {length: ((ph, pk), (nh, nk)), longer: ((nh, nk),)}.items() if longer != length else ((length, ((ph, pk), (nh, nk))),):
+                if n is None:
+                    continue
+                for h, kind in readings:
+                    w, ok = _windows(h, kind, n)
+                    for i in np.nonzero(ok)[0].tolist():
+                        if (k, i) not in self.at[int(w[i])]:
+                            self.at[int(w[i])].append((k, i))
+                lengths.add(n)
+            self.tokens[k], self.canonical[k], self.length[k] = tokens, (ph, nh), length
+            self.starts[k] = np.nonzero(_windows(ph, pk, length)[1])[0].tolist()
+            self.renamed[k] = set(np.nonzero(_windows(nh, nk, length)[1])[0].tolist())
         self.lengths = sorted(lengths)
         self.ids = [i for i, _ in items]
         self.sorted = np.array(sorted(self.at), np.uint64)
@@ -118,37 +138,38 @@ class _Index:
         return bool(self.at)
 
 
-def _consistent(index: _Index, hits: list[tuple[int, int, int, int]], tokens: list[str]) -> list[tuple[int, int, int, float, int]]:
-    """The items of which a text has enough windows. hits: item, start in it, start in the text, whether names are slots.
+def _consistent(index: _Index, places: set[tuple[int, int]], tokens: list[str], ph: np.ndarray, nh: np.ndarray) -> list[tuple[int, int, int, float, int]]:
+    """The items of which a text has enough windows. places: item, distance of the text's tokens from the item's; ph, nh: the text's hashes in both readings.
 
-    Windows at the same distance from the item's are one placing. Within it every slot value of the item stands for one value
-    of its kind and the other way round; a window that says otherwise does not count.
+    At a place every counted window is compared, also one with too few literals to be looked up. Within a place every slot value of the item stands
+    for one value of the text, and several may stand for the same; a window that says otherwise does not count.
     """
-    placed: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-    for k, i, j, v in hits:
-        placed[k, j - i].append((i, j, v))
     found: dict[int, set[int]] = defaultdict(set)
     changed: dict[int, int] = defaultdict(int)
-    for (k, _), windows in placed.items():
-        item, to, back = index.tokens[k], {}, {}
-        length = min(WINDOW, len(item))
-        for i, j, v in sorted(windows):
-            pairs = []
-            for x, y in zip(item[i : i + length], tokens[j : j + length], strict=True):
-                a, b = x.lower(), y.lower()
-                if a != b or a[0].isdigit() or a in NUMBERS or (v and x[0].isupper()):
-                    pairs.append((a, b))
-            if all(to.get(a, b) == b and back.get(b, a) == a for a, b in pairs) and len(dict(pairs)) == len({b: a for a, b in pairs}):
-                fresh = dict(pairs)
-                if all(fresh[a] == b for a, b in pairs):
+    for k, shift in sorted(places):
+        item, length, to = index.tokens[k], index.length[k], {}
+        a, b = max(0, shift), min(len(tokens), shift + len(item))
+        ip, iname = index.canonical[k]
+        plain, named = np.zeros(len(item), bool), np.zeros(len(item), bool)
+        plain[a - shift : b - shift] = ip[a - shift : b - shift] == ph[a:b]
+        named[a - shift : b - shift] = iname[a - shift : b - shift] == nh[a:b]
+        same, either = (np.concatenate([[0], x.cumsum()]) for x in (plain, plain | named))
+        windows = [(i, same[i + length] - same[i] < length) for i in index.starts[k] if either[i + length] - either[i] == length]
+        for i, v in sorted(windows, key=lambda w: (w[1] and w[0] not in index.renamed[k], w[0])):  # windows that are looked up come first
+            fresh: dict[str, str] = {}
+            for x, y in zip(item[i : i + length], tokens[i + shift : i + shift + length], strict=True):
+                p, q = x.lower(), y.lower()
+                if (p != q or p[0].isdigit() or p in NUMBERS or (v and x[0].isupper())) and fresh.setdefault(p, q) != q:
+                    break
+            else:
+                if all(to.get(p, q) == q for p, q in fresh.items()):
                     to |= fresh
-                    back |= {b: a for a, b in pairs}
                     found[k].add(i)
-        changed[k] = max(changed[k], sum(a != b for a, b in to.items()))
+        changed[k] = max(changed[k], sum(p != q for p, q in to.items()))
     out = []
     for k, s in found.items():
-        n, total = len(s), index.total[k]
-        if 2 * len(index.renamed[k]) >= total >= 2 * LITERALS:  # other names leave some windows too few literals to be looked for
+        n, total = len(s), len(index.starts[k])
+        if 2 * len(index.renamed[k]) >= total >= 2 * LITERALS:  # a text that changes names may differ in what stands between them
             n, total = max((n, total), (len(s & index.renamed[k]), len(index.renamed[k])), key=lambda x: x[0] / x[1])
         if n >= THRESHOLD * total:
             out.append((index.ids[k], n, total, n / total, changed[k]))
@@ -189,22 +210,22 @@ def _scanner(index: _Index):
         first = first[:total]
         doc = np.repeat(np.arange(len(texts)), lens)
         ph, pk, nh, nk = words.canonical(ids, first)
-        hits: dict[int, list] = defaultdict(list)
+        hits: dict[int, set] = defaultdict(set)
         for length in index.lengths:
             if total < length:
                 continue
             inside = doc[length - 1 :] == doc[: total - length + 1]
-            for v, (h, kind) in enumerate(((ph, pk), (nh, nk))):
+            for h, kind in ((ph, pk), (nh, nk)):
                 w, ok = _windows(h, kind, length)
                 near = np.nonzero(index.gate[(w >> np.uint64(44)).astype(np.int64)] & ok & inside)[0]
                 near = near[np.isin(w[near], index.sorted)]
                 for p in near.tolist():
                     d = int(doc[p])
-                    for k, i, of in index.at[int(w[p])]:
-                        if min(WINDOW, len(index.tokens[k])) == length:
-                            hits[d].append((k, i, p - int(ends[d] - lens[d]), v | of))
+                    start = p - int(ends[d] - lens[d])
+                    hits[d].update((k, start - i) for k, i in index.at[int(w[p])])
         for d, found in hits.items():
-            out[at[d]] = _consistent(index, found, tokens[d])
+            a, b = int(ends[d] - lens[d]), int(ends[d])
+            out[at[d]] = _consistent(index, found, tokens[d], ph[a:b], nh[a:b])
 
     return scan
 
@@ -236,10 +257,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
 
     Texts become tokens (numbers, runs of letters, unit signs), lower-cased. Numbers and units beside a number become typed
     placeholders; capitalised words do in one of two readings (in the other they are words, as at a sentence's start). Windows of five tokens
-    with three literal ones at least are joined by hash, and slot values must map one to one (see _consistent). A document
-    holds an item if 0.8 of the item's windows are found so, or 0.8 of those that have three literals even with all names as placeholders (half of all at least). An item of three or four tokens is one window; a shorter one, or one
-    without a window of literals enough, matches nothing. Null and empty texts match nothing; repeated rows give repeated results;
-    an empty table on either side gives no rows. Other columns are ignored.
+    with three literal ones at least are joined by hash; where one is met, all of the item's windows are compared in place, each token in either
+    reading. Every slot value of the item must stand for one value of the text (see _consistent). A document holds an item if 0.8 of the
+    item's windows are found so, or 0.8 of those that have three literals even with all names as placeholders (half of all at least). An item without
+    three literals in any five tokens has longer windows, up to the whole; an item of three or four tokens is one window; a shorter one, or one
+    without three literals, matches nothing. Null and empty texts match nothing; repeated rows give repeated results; an empty table
+    on either side gives no rows. Other columns are ignored.
 
     Benchmark windows are joined in blocks of bounded size against all rows, without a shuffle. Returns doc_id, item_id,
     matched_windows, item_windows, coverage, changed_slots.

@@ -148,6 +148,22 @@ def test_decontamination_slots_must_agree(spark):
     assert {r.doc_id for r in decontam.find_contamination(d, bench).collect()} == {1}
 
 
+def test_decontamination_new_values_may_coincide(spark):
+    """Two slots with the same new value, and short or name-dense items with all names changed, are found; one value for two is not enough."""
+    items = [
+        (1, "The man sells 3 apples and 5 pears at the market each day"), (2, "Tom gave Mary 5 apples in Paris"),
+        (3, "Tom Smith, Mary Jones and Ann gave Bob Brown, Joe Green and Sue coins"), (4, "7 8 or 6 9 2 3 and 4 1 5 but 2"),
+    ]
+    rows = [
+        (1, "So. The man sells 4 apples and 4 pears at the market each day", 1), (1, "So. The man sells 4 apples and 6 pears at the market each day", 1), (2, "Once Jim gave Lucy 9 apples in Rome today", 2),
+        (3, "so Max Miller, Eve Adams and Kim gave Ted White, Lee Black and Zoe coins", 3), (4, "1 2 or 3 4 5 6 and 7 8 9 but 5", 4),
+        (5, "Once Jim gave Lucy nine pears in Rome today", None), (5, "some apples in Rome, gave Jim", None),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_contamination(d, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(i, k) for i, (_, _, k) in enumerate(rows) if k}
+
+
 def test_decontamination_finds_whole_items(spark, sf, texts):
     """Brute force: an item whose text stands in a document word for word is found."""
     found = {(r.doc_id, r.item_id) for r in queries.op3_decontaminate(spark, sf).collect()}
