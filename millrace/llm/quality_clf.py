@@ -11,12 +11,13 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import map_batches, written
 
-#: Labelled texts of either label that are fitted, in expectation, and bytes of each that a dictionary sees.
+#: Labelled texts of either label that are fitted, in expectation.
 SAMPLE = 1500
-SAMPLE_BYTES = 6000
+#: Pieces (of PART characters, over the full length of those texts) of either label that train a dictionary, in expectation at most.
+PIECES = 6000
 DICTIONARY = 112_640
 LEVEL = 3
-PART = 4096  # bytes compressed at once, so that a text's end counts as its beginning does
+PART = 4096  # bytes compressed (characters trained on) at once, so that a text's end counts as its beginning does
 
 
 def _compressors(good: bytes, bad: bytes):
@@ -54,8 +55,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """(good dictionary, bad dictionary, calibration) from a bounded sample of labelled rows.
 
     Of each label those ids whose md5 is under sample / rows of the label are taken from labels; this list, bounded by sample, meets docs in a
-    broadcast join. Texts cut to SAMPLE_BYTES, of two thirds of it, train the dictionaries on the driver; the rest calibrates (whole texts) by
-    ridge-penalised logistic regression. Rows that lack a label or an id count for nothing. A label without rows leaves an
+    broadcast join. Whole texts of two thirds of it, in pieces, train the dictionaries on the driver; where a label has more than PIECES,
+    the md5 of id and place chooses among them over the full length. The rest calibrates (whole texts) by ridge-penalised logistic regression. Rows that lack a label or an id count for nothing. A label without rows leaves an
     empty dictionary; without any rows every score is 0.5.
     """
     import zstandard as zs
@@ -70,15 +71,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     taken = own.where(u < share).distinct().withColumn("fit", F.pmod(F.conv(F.substring(h, 9, 8), 16, 10).cast("long"), F.lit(3)) < 2)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = written(texts.join(F.broadcast(taken), "id").select("id", "y", "fit", "text"), "labelled")
-    to_fit = rows.where("fit").select("id", "y", F.encode(F.substring("text", 1, SAMPLE_BYTES), "utf-8").alias("b")).orderBy("id", "y", "b").collect()
+    cut = F.expr(f"transform(sequence(0, CAST(greatest(0, ceil(length(text) / {PART}) - 1) AS INT)), i -> substring(text, i * {PART} + 1, {PART}))")
+    pieces = rows.where("fit").select("id", "y", F.posexplode(cut).alias("at", "piece")).where("piece != ''")
+    many = {r.y: r.n for r in pieces.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     dicts = []
+    if many:
+        v = F.conv(F.substring(F.md5(F.concat_ws(" ", "id", "at").cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+        share = F.create_map(*[F.lit(x) for y in many for x in (y, min(1.0, PIECES / many[y]))])[F.col("y")]
+        to_fit = pieces.where(v < share).select("id", "y", "at", F.encode("piece", "utf-8").alias("b")).orderBy("id", "y", "at", "b").collect()
+    else:
+        to_fit = []
     for y in (1, 0):
         parts = [bytes(r.b) for r in to_fit if r.y == y]
         size = min(DICTIONARY, max(1024, sum(map(len, parts)) // 8))
         try:
             dicts.append(zs.train_dictionary(size, parts, level=LEVEL).as_bytes())
-        except zs.ZstdError:  # too few texts to train on: their bytes are the dictionary
-            dicts.append(b"".join(parts)[-DICTIONARY:])
+        except zs.ZstdError:  # too few texts to train on: their bytes are the dictionary, of more than it holds an even share of each piece
+            most = DICTIONARY // max(1, len(parts))
+            whole = sum(map(len, parts)) <= DICTIONARY
+            dicts.append(b"".join(p if whole else p[:most] for p in parts))
     good, bad = dicts
     held = _with_features(rows.where("not fit"), good, bad, "text", ["id", "y"], calibration=None).select("id", "y", "f").orderBy("id", "y", "f").collect()
     held = held or _with_features(rows, good, bad, "text", ["id", "y"], calibration=None).select("id", "y", "f").orderBy("id", "y", "f").collect()

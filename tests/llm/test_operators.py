@@ -507,6 +507,22 @@ def test_quality_held_out(spark):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
+def test_quality_learns_from_whole_texts(spark):
+    """What is bad only in its later part teaches the dictionary of bad text."""
+    r = random.Random(6)
+    clean, junk = ([w + "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(400)] for w in ("", "z"))
+
+    def of(vocabulary, n):
+        return " ".join(r.choice(vocabulary) for _ in range(n))
+
+    rows = [(i, of(clean, 2200) if i % 2 else of(clean, 1200) + " " + of(junk, 1000)) for i in range(120)]
+    assert all(len(t.split(" z")[0]) > 6000 for _, t in rows)
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    good, bad, _ = quality_clf.fit(d, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, quality int"))
+    shared = [sum(f" {w} ".encode() in x for w in junk) for x in (good, bad)]
+    assert shared[0] == 0 and shared[1] > 100
+
+
 def test_quality_edges(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert {r.score for r in quality_clf.score_quality(odd, quality_clf.fit(odd, none)).collect()} == {0.5}
