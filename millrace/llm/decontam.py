@@ -182,13 +182,13 @@ def _scanner(index: _Index):
 
     def scan(texts: list[str | None]) -> list[list[tuple]]:
         nonlocal words
-        if len(words) > 1_000_000:
+        if len(words) > 250_000:
             words = _Words()
         out: list[list[tuple]] = [[] for _ in texts]
         step: list[int] = []
         size = 0
         for k, t in enumerate([*texts, None]):  # some MB at once, whole texts
-            if k == len(texts) or size > 4_000_000:
+            if k == len(texts) or size > 1_000_000:
                 if step:
                     block([texts[i] for i in step], step, out)
                 step, size = [], 0
