@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +42,36 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: computed once, and readable after executors are lost."""
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+def written(df: DataFrame, label: str, *, result: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: computed once, with no lineage, and readable after executors are lost.
+
+    Within scratch() it goes at the scope's end, or with result at the end of the scope around that, if there is one.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    scopes = _SCOPES.get()
+    if len(scopes) > result:
+        scopes[-1 - result].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope whose written() tables are removed at its end: for what no result reads any more."""
+    paths: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), paths))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in paths:
+            remove(spark, path)
