@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -13,8 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import fresh_path, remove, scratch, written  # noqa: F401 - for the operators
+
 #: A word, as Spark's and DuckDB's regular expressions write it.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one key that a join leaves to one task, and the keys with more that are made known to all tasks at most.
+HOT_ROWS, HOT_KEYS = 50_000, 200_000
 #: Bytes of rows that a Python worker turns into objects at once.
 PART_BYTES = 4 << 20
 
@@ -40,28 +42,33 @@ def crc_mod(id_col: str | Column, mod: int) -> Column:
     return F.crc32((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")) % mod
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local session, where the setting is missing, gets one of its own."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def free_name(name: str, columns: list[str]) -> str:
+    """name, or the like of it that no column has (Spark takes names without regard to case)."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
 
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame | None:
+    """keys and parts (among how many tasks a key's rows are to be dealt) of the keys with more than HOT_ROWS rows; None if there are none.
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    They are at most rows / HOT_ROWS; if these were too many for a broadcast after all, none is so hot as to matter among them.
+    """
+    hot = written(counts.where(F.col(n) > HOT_ROWS).select(*keys, F.ceil(F.col(n) / HOT_ROWS).cast("int").alias("parts")), "hot")
+    return hot if 0 < hot.count() <= HOT_KEYS else None
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: computed once, with no lineage, and readable after executors are lost."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """left.join(right, keys, how) with the rows of hot keys (see hot_keys) dealt over several tasks by their hash; right's rows of these keys go to each."""
+    if hot is None:
+        return left.join(right, keys, how)
+    known = F.broadcast(hot)  # HOT_KEYS rows at most
+    names = [*left.columns, *(c for c in right.columns if c not in keys)]
+    salt = F.pmod(F.xxhash64(*left.columns), F.coalesce(F.col("parts"), F.lit(1))).cast("int")
+    a = left.join(known, keys, "left").withColumn("salt", salt).drop("parts")
+    b = right.join(known, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    return a.join(b, [*keys, "salt"], how).select(*names)
 
 
 def _importable(spark: SparkSession) -> None:
@@ -114,16 +121,23 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], fields: list[T.Stru
     return df.select(*[F.col(f"`{c}`") for c in needed]).mapInArrow(run, schema)
 
 
-def flat_map_batches(df: DataFrame, make: Callable[[], Callable], schema: T.StructType, inputs: list[str]) -> DataFrame:
-    """Like map_batches, but the function gives whole output columns of any number of rows."""
+def flat_map_batches(df: DataFrame, make: Callable[[], Callable], schema: T.StructType, inputs: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Like map_batches, but the function gives whole output columns of any number of rows. With keep it first gives the number, within its input, of the
+    row that each output row comes from; that row's columns in keep, as they are, come before those of schema."""
     kinds = [_ARROW[f.dataType] for f in schema]
+    names = keep or []
+    full = T.StructType([*(df.schema[n] for n in names), *schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for b in batches:
             for part in _parts(b):
                 got = fn(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in inputs))
-                yield pa.RecordBatch.from_arrays([_array(x, k) for x, k in zip(got, kinds, strict=True)], names=[f.name for f in schema])
+                kept = []
+                if keep is not None:
+                    at, *got = got
+                    kept = [part.column(part.schema.get_field_index(c)).take(pa.array(at, pa.int64())) for c in names]
+                yield pa.RecordBatch.from_arrays([*kept, *(_array(x, k) for x, k in zip(got, kinds, strict=True))], names=[f.name for f in full])
 
     _importable(df.sparkSession)
-    return df.select(*[F.col(f"`{c}`") for c in inputs]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, *inputs])]).mapInArrow(run, full)

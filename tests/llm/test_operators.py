@@ -361,6 +361,32 @@ def test_near_duplicate_families(spark):
     check_components(neardup.near_duplicates(d).collect(), rows)
 
 
+def test_near_duplicate_family_near_the_threshold(spark):
+    """Families whose members change an absent text by a few words each, by exchange, loss and gain, so that about half of their pairs link."""
+    r = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    rows = []
+    for length, most in ((120, 3), (400, 5)):
+        base = [r.choice(vocabulary) for _ in range(length)]
+        for _ in range(160):
+            t = list(base)
+            for _ in range(r.randint(1, most)):
+                at = r.randrange(len(t))
+                t[at : at + r.choice([1, 1, 0, 2])] = [r.choice(vocabulary) for _ in range(r.choice([0, 1, 1, 2]))]
+            rows.append((len(rows), " ".join(t[r.choice([0, 0, 0, 12]) :])))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    check_components(neardup.near_duplicates(d).collect(), rows)
+
+
+def test_near_duplicate_ids_repeated_with_other_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [("3", one), ("5", one), ("5", two), ("9", two), ("7", "c d e"), ("7", "f g h")]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    got = neardup.near_duplicates(d).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [("3", "3", True), ("5", "3", False), ("5", "3", False), ("7", "7", True), ("7", "7", True), ("9", "3", False)]
+    assert sorted(map(tuple, neardup.drop_near_duplicates(d).collect())) == [("3", one), ("7", "c d e")]
+
+
 def test_near_duplicate_edges(odd, empty):
     out = neardup.near_duplicates(odd).collect()
     assert len(out) == len(ODD)
