@@ -69,19 +69,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _SIZES = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ' ', coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM s),
 c AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / weight AS runs_out FROM w),
 l AS (SELECT *, sum(weight) OVER () - coalesce(sum(weight) OVER p, 0) AS left_w, sum(source_size) OVER () - coalesce(sum(cap) OVER p, 0) AS left_size
       FROM c WINDOW p AS (ORDER BY runs_out, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT arg_min(left_size / left_w, (runs_out, source IS NULL, source)) AS served FROM l WHERE left_size / left_w < runs_out),
-t AS (SELECT source, source_size, coalesce(least(weight * served, cap), cap) AS target FROM l, v),
-q AS (SELECT doc_id, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(
-  greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) + greatest(0, least(size, floor(target) - start - 2 * source_size)) AS BIGINT) AS taken
-FROM q
+t AS (SELECT source, source_size, weight, coalesce(least(weight * served, cap), cap) AS target FROM l, v),
+b AS (SELECT CAST(sum(size) AS BIGINT) AS budget, greatest(1, CAST(sum(size) AS BIGINT) // 131072) AS slice FROM d),
+q AS (SELECT row_number() OVER (ORDER BY h) AS r, doc_id, d.source, size, source_size, target, weight, sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS UNBOUNDED PRECEDING) - size AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT r, source, weight, slice, size, start + turn * source_size AS first, unnest(range(0, size, slice)) AS pos FROM q, b, (SELECT unnest([0, 1, 2]) AS turn) WHERE size > 0),
+f AS (SELECT r, source, least(slice, size - pos) AS words, CAST(first + pos + least(slice, size - pos) AS DOUBLE) / weight AS finish FROM u),
+g AS (SELECT r, words, sum(words) OVER (ORDER BY finish, source IS NULL, source ROWS UNBOUNDED PRECEDING) AS through FROM f),
+k AS (SELECT r, sum(greatest(0, least(words, budget - (through - words)))) AS taken FROM g, b GROUP BY r)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN k USING (r)
 """
 
 _WARC = """

@@ -86,7 +86,33 @@ def test_mixing_edges(odd, empty):
     out = mixing.mix(odd)
     assert out.count() == len(ODD) and out.where("doc_id = 1").first()["size"] == 0
     assert mixing.mix(empty).count() == 0
-    assert mixing.mix(odd, carry=["doc_id", "size", "text"]).columns[:2] == ["doc_id", "text"]
+    some = mixing.mix(odd, carry=["doc_id", "size", "text"])
+    assert some.columns == ["doc_id", "size", "text", "size_", "source_size", "target", "taken", "weight", "virtual_finish"] and {r["size"] for r in some.collect()} == {"clash"}
+
+
+def test_mixing_serves_slices_in_the_global_order(spark):
+    """Brute force: all slices of all passes sorted by virtual finish and source, taken until the budget is spent."""
+    r = random.Random(6)
+    rows = [(i, "w " * r.choice([0, 1, 3, 50, 400]), r.choice(["a", "b", "b", "b", "c", None])) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for weights, share in ((None, 1.0), ({"a": 5.0, "b": 0.5, None: 0.01}, 0.7), ({"a": 1.0}, 1.0)):
+        queue = {}
+        for i, t, s in sorted(rows, key=lambda x: hashlib.md5(f"{x[0]} {x[1]}".encode()).hexdigest()):
+            queue.setdefault(s, []).append((i, len(words(t))))
+        weight = {s: float(k % 3 + 1) for k, s in enumerate(sorted(x for x in queue if x) + [None])} if weights is None else {s: weights.get(s, 0.0) for s in queue}
+        slices = []
+        for s, own in queue.items():
+            at = 0
+            for _ in range(3):
+                for i, n in own:
+                    for _ in range(n):
+                        at += 1
+                        if weight[s] > 0:
+                            slices.append((at / weight[s], s is None, s or "", i))
+        budget = int(share * sum(n for own in queue.values() for _, n in own) + 1e-9)
+        want = Counter(i for *_, i in sorted(slices)[:budget])
+        got = {x.doc_id: x.taken for x in mixing.mix(d, weights=weights, share=share).collect()}
+        assert got == {i: want[i] for i, _, _ in rows}
 
 
 # --- 2 tokens -----------------------------------------------------------------------------------------------------
@@ -495,6 +521,39 @@ def test_license_join_is_exact():
         assert dict(join.block(block)) == pytest.approx(want)
 
 
+def test_license_blocks_brute_force():
+    """Every template with a window of SPREAD words for each of its own that holds enough of its tokens is met, with the best containment; and no other is."""
+    r = random.Random(12)
+    vocabulary = [f"t{i}" for i in range(30)]
+    templates = [(f"l{i}", " ".join(r.sample(vocabulary, r.randint(1, 9)))) for i in range(25)]
+    join = license.Join(templates, {w.encode(): r.randint(0, 90) for w in vocabulary}, 0.8)
+    for _ in range(600):
+        tokens = [r.choice([*vocabulary, *["other"] * 40]).encode() for _ in range(r.randint(0, 60))]
+        want = {}
+        for k, (_, t) in enumerate(templates):
+            own, size = set(license.words(t)), license.SPREAD * len(license.words(t))
+            best = max((len(own & set(tokens[i : i + size])) for i in range(max(1, len(tokens)))), default=0) / len(own)
+            if best >= 0.8:
+                want[k] = best
+        got = {}
+        for t, a, b, s, _ in join.blocks(tokens):
+            own = set(license.words(templates[t][1]))
+            assert s == len(own & set(tokens[a:b])) / len(own) and b - a <= license.SPREAD * len(license.words(templates[t][1]))
+            got[t] = max(s, got.get(t, 0))
+        assert got == pytest.approx(want)
+
+
+def test_license_full_containment_over_lines_and_two_statements(spark):
+    rows = [
+        (1, "Released under\nthe MIT License", "mit", 1.0), (2, "all of us had rights to it, which the others, so it was told, had reserved", "", 0.0),
+        (3, "All rights reserved. This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl,reserved", 1.0),
+    ]
+    d = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id bigint, text string")
+    for r in license.scan_licenses(d).collect():
+        _, _, labels, score = rows[r.doc_id - 1]
+        assert (r.labels, r.score) == (labels, score), r
+
+
 def test_license_edges(odd, empty, spark):
     out = license.scan_licenses(odd).collect()
     assert len(out) == len(ODD) and all(r.labels == "" and r.score == 0.0 for r in out)
