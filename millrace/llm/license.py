@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from millrace.llm.common import flat_map_batches, map_batches
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 THRESHOLD = 0.8
-#: Words within a run of over three lines, for each word of the template, at most.
+#: Words in a block, for each word of the template, at most.
 SPREAD = 2
 #: Template words at most: the bound on what goes to every worker.
 MOST_WORDS = 2_000_000
@@ -103,29 +104,50 @@ class Join:
                     found.append((t, n / len(other)))
         return found
 
-    def runs(self, t: int, lines: list[tuple[int, int, set[int]]]) -> list[tuple[int, int, int]]:
-        """(shared tokens, first line, last line) of the runs of lines that meet a template: from every line the shortest run that does.
+    def places(self, t: int, hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(shared tokens, first word, end word) of the blocks that meet a template, best first, then shortest; of those that overlap the best only.
 
-        lines: first word, end word and ranks of each line. Lines within a run (all but its first and last, which also hold what
-        stands beside the statement) have at most SPREAD words for each of the template's: words scattered over a text are no statement. Runs of three lines may have any.
+        hits: place and rank of a text's words that are in any template, in order. A block has SPREAD words at most for each of the template's. For each
+        place the window of that size that ends there is searched, less what it holds twice at its beginning; only windows about a token of the prefix can do.
         """
-        own, need, most, found = self.members[t], self.need[t], SPREAD * self.length[t], []
-        held = [(k, shared) for k, (_, _, r) in enumerate(lines) if (shared := r & own)]
-        for at, (i, shared) in enumerate(held):
-            seen = set(shared)
-            for j, more in held[at:]:
-                if j - i > 2 and lines[j][0] - lines[i][1] > most:
-                    break
-                seen |= more
-                if len(seen) >= need:
-                    found.append((len(seen), i, j))
-                    break
-        return found
+        own, need, size = self.members[t], self.need[t], SPREAD * self.length[t]
+        count: Counter = Counter()
+        at, left, found = [x for x in hits if x[1] in own], 0, []
+        for i, r in at:
+            count[r] += 1
+            while i - at[left][0] >= size or count[at[left][1]] > 1:
+                count[at[left][1]] -= 1
+                if not count[at[left][1]]:
+                    del count[at[left][1]]
+                left += 1
+            if len(count) >= need:
+                found.append((len(count), at[left][0], i + 1))
+        out: list[tuple[int, int, int]] = []
+        ends: list[int] = []  # of out's blocks, in order; they do not overlap
+        starts: list[int] = []
+        for n, a, b in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            k = bisect_right(starts, a)
+            if (k and ends[k - 1] > a) or (k < len(starts) and starts[k] < b):
+                continue
+            starts.insert(k, a)
+            ends.insert(k, b)
+            out.append((n, a, b))
+        return out
 
-    def stands(self, t: int, score: float, found: list[tuple[int, float]]) -> bool:
-        """Whether a match gives its label: not if a template that shares half the tokens is met better, as with one license's name within another's."""
-        own = set(self.sets[t])
-        return not any(s > score and 2 * len(own.intersection(self.sets[o])) >= min(len(own), len(self.sets[o])) for o, s in found)
+    def blocks(self, tokens: list[bytes]) -> list[tuple[int, int, int, float, bool]]:
+        """template, first word, end word, containment, and whether it gives its label, of every block that meets a template.
+
+        It does not where most of the block's words are in another template's block that fits better and the two templates share half their tokens, as with
+        one license's name within another's.
+        """
+        hits = [(i, r) for i, r in enumerate(map(self.rank.get, tokens)) if r is not None]
+        met = [(t, a, b, n / len(self.sets[t])) for t, _ in self.block(tokens) for n, a, b in self.places(t, hits)]
+        out = []
+        for t, a, b, s in met:
+            own = self.members[t]
+            better = any(x > s and 2 * (min(b, d) - max(a, c)) >= b - a and 2 * len(own & self.members[o]) >= min(len(own), len(self.members[o])) for o, c, d, x in met)
+            out.append((t, a, b, s, not better))
+        return out
 
 
 def base_places(tokens: list[bytes]) -> tuple[list[int], set[str]]:
@@ -167,7 +189,8 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", keep: list[str] |
 
     New columns: n_words, n_base, first_word, last_word (starts of the base places, null without any), base_labels, labels, score (the best
     containment of any template in any block, 1 if a base phrase stands there, else 0) and blocks (label:first word:end word:containment of every
-    block and template, comma-joined). A label is left to blocks alone if another license's template fits the block better. A block is a line with a word, or as many such lines in a row as a template needs (a statement may be wrapped; see Join.runs). Null and empty texts
+    block and template, comma-joined). A block is a run of words, whatever lines it spans, with SPREAD words at most for each of the template's: a statement may be
+    wrapped and have other words between its own, but words scattered over a text are none. Null and empty texts
     have no words; repeated rows stay; an empty table gives no rows; columns with the new names are replaced. The templates have a
     checked size and go to the workers; only token counts are shuffled.
     """
@@ -189,25 +212,11 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", keep: list[str] |
             labels = set(base)
             found: dict[tuple[str, int, int], float] = {}
             if tokens and not rare.isdisjoint(map(join.rank.get, tokens)):
-                every = join.block(tokens)  # a template that the whole text does not meet is met by no block
-                at, lines, parts = 0, [], []
-                for line in text.split("\n") if every else ():
-                    if own := words(line):
-                        lines.append((at, at + len(own), {r for r in map(join.rank.get, own) if r is not None}))
-                        parts.append(own)
-                        at += len(own)
-                for t, _ in every:
-                    met: set[int] = set()  # lines in a shorter run which meets the template
-                    for _, i, j in sorted(join.runs(t, lines), key=lambda x: (x[2] - x[1], x[1])):
-                        if not met.isdisjoint(range(i, j + 1)):
-                            continue
-                        met.update(range(i, j + 1))
-                        block = join.block([w for own in parts[i : j + 1] for w in own])
-                        s = dict(block)[t]
-                        if join.stands(t, s, block):
-                            labels.add(join.labels[t])
-                        key = join.labels[t], lines[i][0], lines[j][1]
-                        found[key] = max(s, found.get(key, 0.0))
+                for t, a, b, s, stands in join.blocks(tokens):
+                    key = join.labels[t], a, b
+                    found[key] = max(s, found.get(key, 0.0))
+                    if stands:
+                        labels.add(join.labels[t])
             return (
                 len(tokens), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)),
                 1.0 if places else max(found.values(), default=0.0), ",".join(f"{k}:{a}:{b}:{s:.3f}" for (k, a, b), s in sorted(found.items(), key=lambda x: (x[0][1], x[0]))),
