@@ -17,6 +17,7 @@ SAMPLE = 1500
 PIECES = 6000
 DICTIONARY = 112_640
 LEVEL = 3
+SCALE = 10.0  # of size differences in the logistic calibration, so that its ridge is small beside them
 PART = 4096  # bytes compressed (characters trained on) at once, so that a text's end counts as its beginning does
 
 
@@ -29,26 +30,27 @@ def _compressors(good: bytes, bad: bytes):
     return of(good), of(bad)
 
 
-def features(text: str | None, pair) -> list[float]:
-    """Normalised compressed-size differences of a whole text, which is compressed in parts.
-
-    (bad - good) / (bad + good) over all parts, its least value over parts, and how far good's dictionary leaves the text
-    compressible, which repetition does; each with the text's length, as short texts tell less.
-    """
+def difference(text: str | None, pair) -> float:
+    """The normalised compressed-size difference (bad - good) / (bad + good) of a whole text, which is compressed in parts."""
     b = (text or "").encode("utf-8", "surrogatepass")
     good, bad = pair
-    gs, bs, low = 0, 0, 1.0
+    gs = bs = 0
     for a in range(0, max(len(b), 1), PART):
         part = b[a : a + PART]
-        g, x = len(good.compress(part)), len(bad.compress(part))
-        gs, bs = gs + g, bs + x
-        if a == 0 or len(part) >= 512:
-            low = min(low, (x - g) / (x + g))
-    n = len(b)
-    d = (bs - gs) / (bs + gs)
-    ratio = math.log((gs + 1) / (n + 1))
-    long = min(1.0, n / 400)
-    return [1.0, d, low, max(-3.0, min(0.0, ratio + 1.0)) * long, min(0.0, d) * long, math.log1p(n) / 10, min(0.0, low) * long]
+        gs, bs = gs + len(good.compress(part)), bs + len(bad.compress(part))
+    return (bs - gs) / (bs + gs)
+
+
+def _spread(parts: list[bytes], most: int) -> bytes:
+    """Whole pieces from all over the list, evenly spaced, of so many bytes at most; the first alone may be cut."""
+    n = sum(map(len, parts))
+    step = max(1, -(-n // most))
+    out, size = [], 0
+    for p in [q for k in range(step) for q in parts[k::step]]:
+        if size + len(p) <= most:
+            out.append(p)
+            size += len(p)
+    return b"".join(out) if out or not parts else parts[0][:most]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[bytes, bytes, list[float]]:
@@ -86,22 +88,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         size = min(DICTIONARY, max(1024, sum(map(len, parts)) // 8))
         try:
             dicts.append(zs.train_dictionary(size, parts, level=LEVEL).as_bytes())
-        except zs.ZstdError:  # too few texts to train on: their bytes are the dictionary, of more than it holds an even share of each piece
-            most = DICTIONARY // max(1, len(parts))
-            whole = sum(map(len, parts)) <= DICTIONARY
-            dicts.append(b"".join(p if whole else p[:most] for p in parts))
+        except zs.ZstdError:  # too few or too uniform texts to train on: their bytes are the dictionary
+            dicts.append(_spread(parts, DICTIONARY))
     good, bad = dicts
-    held = _with_features(rows.where("not fit"), good, bad, "text", ["id", "y"], calibration=None).select("id", "y", "f").orderBy("id", "y", "f").collect()
-    held = held or _with_features(rows, good, bad, "text", ["id", "y"], calibration=None).select("id", "y", "f").orderBy("id", "y", "f").collect()
+    held = _scored(rows.where("not fit"), good, bad, "text", ["id", "y"], None).select("id", "y", "score").orderBy("id", "y", "score").collect()
+    held = held or _scored(rows, good, bad, "text", ["id", "y"], None).select("id", "y", "score").orderBy("id", "y", "score").collect()
     if not held:
         return good, bad, []
-    x, y = np.array([[float(v) for v in r.f.split(" ")] for r in held]), np.array([r.y for r in held], float)
+    x, y = np.array([[1.0, SCALE * r.score] for r in held]), np.array([r.y for r in held], float)
     # weights bring the sample back to the labels' true shares
     seen = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weight = np.array([n.get(int(k), 0) / seen[int(k)] for k in y])
     weight *= len(y) / weight.sum()
-    c = np.zeros(x.shape[1])
-    ridge = np.diag([1e-3] + [0.05] * (x.shape[1] - 1))
+    c = np.zeros(2)
+    ridge = np.diag([1e-3, 0.05])
     for _ in range(50):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge
@@ -112,8 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return good, bad, c.tolist()
 
 
-def _with_features(docs: DataFrame, good: bytes, bad: bytes, text_col: str, names: list[str], calibration: list[float] | None) -> DataFrame:
-    """The score of each text, or without a calibration its features, space-joined."""
+def _scored(docs: DataFrame, good: bytes, bad: bytes, text_col: str, names: list[str], calibration: list[float] | None) -> DataFrame:
+    """The score of each text, or without a calibration its size difference."""
     shared = docs.sparkSession.sparkContext.broadcast((good, bad))
 
     def make():
@@ -121,15 +121,15 @@ def _with_features(docs: DataFrame, good: bytes, bad: bytes, text_col: str, name
 
         def run(texts):
             if calibration is None:
-                return [[" ".join(map(repr, features(t, pair))) for t in texts]]
+                return [[difference(t, pair) for t in texts]]
             if not calibration:
                 return [[0.5] * len(texts)]
-            return [[1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(calibration, features(t, pair), strict=True)))))) for t in texts]]
+            bias, slope = calibration
+            return [[1 / (1 + math.exp(-max(-30.0, min(30.0, bias + slope * SCALE * difference(t, pair))))) for t in texts]]
 
         return run
 
-    new = T.StructField("f", T.StringType()) if calibration is None else T.StructField("score", T.DoubleType())
-    return map_batches(docs, make, [new], [text_col], names)
+    return map_batches(docs, make, [T.StructField("score", T.DoubleType())], [text_col], names)
 
 
 def score_quality(docs: DataFrame, model: tuple[bytes, bytes, list[float]], *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -138,4 +138,4 @@ def score_quality(docs: DataFrame, model: tuple[bytes, bytes, list[float]], *, t
     A null text scores as an empty one. Repeated rows stay; an empty table gives no rows; a column named score is replaced. The two
     dictionaries have a fixed size and go to the workers; no shuffle.
     """
-    return _with_features(docs, model[0], model[1], text_col, [c for c in (docs.columns if keep is None else keep) if c != "score"], model[2])
+    return _scored(docs, model[0], model[1], text_col, [c for c in (docs.columns if keep is None else keep) if c != "score"], model[2])
