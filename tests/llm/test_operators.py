@@ -449,6 +449,47 @@ def test_secrets_assignments():
     assert secrets.redact_text("token=abcdefghijkl12 ok") == "[secret] ok" and secrets.redact_text(None) is None
 
 
+V, W = "Zx9$kQ!72mLp", "q8#Lw!z0Vn2r"
+#: A text and the literals that are found in it.
+ASSIGNED = [
+    (f'db = "{V}"\ndb_password = db', [V]), (f'db_password = db\ndb = "{V}"', [V]), (f'x = "{V}"\ny = x\nz = y\nauth_token = z', [V]), ("a = b\nb = a\npassword = a", []),
+    (f'x = "{V}"\nx = "plain"\npassword = x', []), (f"<clientSecret>{W}</clientSecret>", [W]), (f"colour = '{V}'", []), ('password = "${PASSWORD}"', []), ("the password: a word about tokens", []),
+    (r'password = "ab\"cD9$xQ!72"', [r'ab\"cD9$xQ!72']), ("password = \"it's9$kQ!72mLp\"", ["it's9$kQ!72mLp"]), (f'secret = """{V}"""', [V]), (f'secret = """{V}\nqQ7!zz"""', [V + "\nqQ7!zz"]),
+    ('password = "Zx9$kQ" + "!72mLp"', ["Zx9$kQ", "!72mLp"]), ('password = "Zx9$kQ" \\\n  "!72mLp"', ["Zx9$kQ", "!72mLp"]), ('password = ("Zx9$kQ"\n  "!72mLp")', ["Zx9$kQ", "!72mLp"]),
+    ('a = "Zx9$kQ"\nb = "!72mLp"\npassword = a + b', ["Zx9$kQ", "!72mLp"]), ('$p = "Zx9$kQ" . "!72mLp"; $password = $p;', ["Zx9$kQ", "!72mLp"]), (f"DB_PASSWORD=${{DB_PASS:-{V}}}", [V]),
+    (f'connect(host, password="{V}")', [V]), (f'client.setPassword("{V}")', [V]), (f'props.setProperty("db.password", "{V}")', [V]), (f'<add key="apiSecret" value="{V}"/>', [V]),
+    (f'<string name="api_secret">{V}</string>', [V]), (f'<user name="bob" password="{V}"/>', [V]), (f'passwords:\n  - {V}\n  - "{W}"\nother: 1', [V, W]), (f'password: str = "{V}"', [V]),
+    (f'let key: &str = "x"; let api_key: Option<&str> = "{V}";', [V]), (f'var password string = "{V}"', [V]), (f'private static final String PASSWORD = "{V}";', [V]), (f'char secret[] = "{V}";', [V]),
+    (f'# db = "{V}"\ndb_password = db', []), (f'# password = "{V}"', [V]), (f'/* secret: "{V}" */', [V]), (f'<!-- token="{V}" -->', [V]), (f'os.environ["SECRET_KEY"] = "{V}"', [V]),
+    (f'password = os.getenv("DB_PASSWORD", "{V}")', [V]), ('password = os.getenv("DB_PASSWORD_NAME9")', []), (f'password = cfg.get("pw") or "{V}"', [V]), (f'const token = process.env.TOKEN || "{V}";', [V]),
+    (f'{{"client_secret": "{V}", "x": 1}}', [V]), (f'"tokens": ["{V}", "{W}"]', [V, W]), (f"$password = '{V}';", [V]), (f"'password' => '{V}',", [V]), ('secretkey = "wJalrXUtnFEMI/K7MDENG"', ["wJalrXUtnFEMI/K7MDENG"]),
+    (f'contraseña = "{V}"', [V]), ('tokenizer = "sentencepiece-bpe-32k"', []), ('token_url = "https://example.com/oauth/token"', []), (f'password = "https://u:{V}@h/x"', [f"https://u:{V}@h/x"]),
+    ("export AUTH_TOKEN=Zx9kQ72mLpRt", ["Zx9kQ72mLpRt"]), (f'password := "{V}"', [V]), (f'password = f"{V}"', [V]), ("I don't know the secret = it isn't here", []), (f'key = "{V}"', []), (f'private_key = "{V}"', [V]),
+    ("token: Zx9kQ72mLpRt # comment", ["Zx9kQ72mLpRt"]), (f'password="{V}" # see "other"', [V]), (f'url = "http://x//y"; secret = "{V}"', [V]), ('password = ""\n', []),
+]
+
+
+@pytest.mark.parametrize("text,want", ASSIGNED, ids=[t[:30] for t, _ in ASSIGNED])
+def test_secrets_lexer(text, want):
+    found = [text[a:b] for a, _, b in secrets.scan_text(text)[1]]
+    assert all(any(w in f for f in found) for w in want) and (want or not found), found
+    left = secrets.redact_text(text)
+    assert all(w not in left for w in want)
+
+
+def test_secrets_lexer_is_linear():
+    """Openings without an end, long chains and many assignments take time in proportion to the text."""
+    import time
+
+    for x in ('"', "<a ", "/*", '"""', "<!--", "key=[ ", "key=a+", 'a\\"', " # a", "secret ${", 'password = "Zx9kQ72mLpw!"\n'):
+        took = []
+        for n in (4000, 16000):
+            began = time.perf_counter()
+            secrets.scan_text(x * n + " password")
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * took[0] + 0.5, (x, took)
+
+
 def test_secrets_edges(odd, empty):
     out = secrets.scan_secrets(odd, keep=["doc_id"]).collect()
     assert len(out) == len(ODD) and all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in out)
