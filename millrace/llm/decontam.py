@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import flat_map_batches, map_batches
+from millrace.llm.common import flat_map_batches, free_name, map_batches, written
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[$€£¥%°]")
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
@@ -129,7 +129,6 @@ class _Index:
             self.starts[k] = np.nonzero(_windows(ph, pk, length)[1])[0].tolist()
             self.renamed[k] = set(np.nonzero(_windows(nh, nk, length)[1])[0].tolist())
         self.lengths = sorted(lengths)
-        self.ids = [i for i, _ in items]
         self.sorted = np.array(sorted(self.at), np.uint64)
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(self.sorted >> np.uint64(44)).astype(np.int64)] = True
@@ -139,7 +138,7 @@ class _Index:
 
 
 def _consistent(index: _Index, places: set[tuple[int, int]], tokens: list[str], ph: np.ndarray, nh: np.ndarray) -> list[tuple[int, int, int, float, int]]:
-    """The items of which a text has enough windows. places: item, distance of the text's tokens from the item's; ph, nh: the text's hashes in both readings.
+    """The items (by their number in the block) of which a text has enough windows. places: item, distance of the text's tokens from the item's; ph, nh: the text's hashes in both readings.
 
     At a place every counted window is compared, also one with too few literals to be looked up. Within a place every slot value of the item stands
     for one value of the text, and several may stand for the same; a window that says otherwise does not count.
@@ -172,7 +171,7 @@ def _consistent(index: _Index, places: set[tuple[int, int]], tokens: list[str],
         if 2 * len(index.renamed[k]) >= total >= 2 * LITERALS:  # a text that changes names may differ in what stands between them
             n, total = max((n, total), (len(s & index.renamed[k]), len(index.renamed[k])), key=lambda x: x[0] / x[1])
         if n >= THRESHOLD * total:
-            out.append((index.ids[k], n, total, n / total, changed[k]))
+            out.append((k, n, total, n / total, changed[k]))
     return out
 
 
@@ -231,14 +230,17 @@ def _scanner(index: _Index):
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The benchmark in blocks, each of which is small enough for a broadcast."""
+    """The benchmark in blocks, each of which is small enough for a broadcast, with whether it is the only one. A block leaves driver and workers when the next is asked for."""
     b = benchmark.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     size = b.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // (BLOCK_WINDOWS * 4)))
     sc = benchmark.sparkSession.sparkContext
     for k in range(n):
         rows = b.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()
-        yield sc.broadcast((uuid.uuid4().hex, [(r.id, r.text) for r in rows]))
+        shared = sc.broadcast((uuid.uuid4().hex, [(r.id, r.text) for r in rows]))
+        yield shared, n == 1
+        if n > 1:
+            shared.destroy()
 
 
 _SCANNERS: dict[str, Callable] = {}
@@ -264,35 +266,42 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     without three literals, matches nothing. Null and empty texts match nothing; repeated rows give repeated results; an empty table
     on either side gives no rows. Other columns are ignored.
 
-    Benchmark windows are joined in blocks of bounded size against all rows, without a shuffle. Returns doc_id, item_id,
-    matched_windows, item_windows, coverage, changed_slots.
+    Benchmark windows are joined in blocks of bounded size against all rows, without a shuffle; of more than one block each one's result is written before the
+    next is read. Ids may have any type. Returns doc_id, item_id, matched_windows, item_windows, coverage, changed_slots.
     """
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("matched_windows", T.LongType()), T.StructField("item_windows", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("changed_slots", T.LongType())])
+    item = benchmark.schema[item_col].dataType
+    schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("matched_windows", T.LongType()), T.StructField("item_windows", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("changed_slots", T.LongType())])
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     out = None
-    for shared in _blocks(benchmark, item_col, item_text_col):
+    for shared, only in _blocks(benchmark, item_col, item_text_col):
 
         def make(shared=shared):
             scan = _scanner_of(shared)
 
-            def run(ids, texts):
-                rows = [(d, *hit) for d, hits in zip(ids, scan(texts), strict=True) for hit in sorted(hits)]
-                return list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+            def run(texts):
+                hits = [(i, *hit) for i, found in enumerate(scan(texts)) for hit in sorted(found)]
+                return list(zip(*hits, strict=True)) if hits else [[]] * (len(schema) + 1)
 
             return run
 
-        part = flat_map_batches(docs, make, schema, [id_col, text_col])
+        part = flat_map_batches(rows, make, schema, ["text"], ["doc_id"])
+        ids = docs.sparkSession.createDataFrame(list(enumerate(i for i, _ in shared.value[1])), T.StructType([T.StructField("at", T.LongType()), T.StructField("item_id", item)]))
+        part = part.join(F.broadcast(ids), "at").select("doc_id", "item_id", "matched_windows", "item_windows", "coverage", "changed_slots")  # a block's items
+        part = part if only else written(part, "contamination")
         out = part if out is None else out.unionAll(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs without the rows that find_contamination reports; all columns stay as they are."""
-    flag = "__millrace_hit"
-    for shared in _blocks(benchmark, item_col, item_text_col):
+    """docs without the rows that find_contamination reports; all columns stay as they are. Rows with null or empty texts stay, repeated rows go or stay together, and an
+    empty table on either side drops nothing."""
+    flag = free_name("hit", docs.columns)
+    for shared, only in _blocks(benchmark, item_col, item_text_col):
 
         def make(shared=shared):
             scan = _scanner_of(shared)
             return lambda texts: [[bool(x) for x in scan(texts)]]
 
         docs = map_batches(docs, make, [T.StructField(flag, T.BooleanType())], [text_col]).where(f"not {flag}").drop(flag)
+        docs = docs if only else written(docs, "uncontaminated")
     return docs
