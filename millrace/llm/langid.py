@@ -17,8 +17,8 @@ UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]{1,40}")
 #: Training documents of a language, in expectation: the bound on the sample that is fitted.
 DOCS_PER_LANGUAGE = 400
-#: Words of a language whose counts come to the driver.
-ROUNDS = 2
+#: Rounds of expectation maximisation, and words whose arcs are laid out at once.
+ROUNDS, PART_WORDS = 2, 20_000
 LONGEST = 16
 MEMO = 300_000
 
@@ -66,6 +66,8 @@ class Pieces:
         """Word, start, end and piece of every piece that fits anywhere, by end and word. Words are of 40 characters at most, and under a million."""
         if not words:
             return (np.zeros(0, np.int64),) * 4
+        if len(words) >= 1 << 20 or self.size >= 1 << 20:
+            raise ValueError("words and pieces are numbered with 20 bits")
         c = _chars(START + START.join(words))
         lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
         word = np.repeat(np.arange(len(words)), lens)
@@ -119,10 +121,15 @@ def expected(words: list[str], counts: np.ndarray, pieces: Pieces, p: np.ndarray
     return np.bincount(k, alpha[w, i] * p[k] * beta[w, end] / total[w] * counts[w], pieces.size)
 
 
+def _parts(words: list[str], counts: np.ndarray):
+    for a in range(0, len(words), PART_WORDS):
+        yield words[a : a + PART_WORDS], counts[a : a + PART_WORDS]
+
+
 def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", pieces: list[str] | None = None, vocabulary: str = VOCABULARY, docs_per_language: int = DOCS_PER_LANGUAGE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, list[str]]:
     """(languages, log-free probabilities piece by language, pieces), by expectation maximisation over all segmentations.
 
-    Fitted on a bounded sample: of each language's rows those whose md5(id) is under docs_per_language / rows of the language. Only
+    Fitted on a bounded sample: of each language's rows those whose md5(id, text) is under docs_per_language / rows of the language. Only
     counts of distinct words of this sample come to the driver. Rows without a language or text teach nothing. Languages are in
     alphabetical order; no rows give no languages.
     """
@@ -133,21 +140,20 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_
     langs = sorted(rows)
     if not langs:
         return [], np.zeros((table.size, 0)), pieces
-    u = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    u = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(" "), "text").cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, docs_per_language / rows[lang]))])[F.col("lang")]
     words = t.where(u < share).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{1,40})"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "word").toPandas()
     p = np.zeros((table.size, len(langs)))
     for x, lang in enumerate(langs):
         own = words[words.lang == lang]
         texts, counts = own.word.tolist(), own.n.to_numpy(float)
-        if texts:
-            _, i, end, k = table.arcs(texts)
-            w = table.arcs(texts)[0]
-            p[:, x] = np.bincount(k, counts[w] * (end - i), table.size)
+        for part, n in _parts(texts, counts):
+            w, i, end, k = table.arcs(part)
+            p[:, x] += np.bincount(k, n[w] * (end - i), table.size)
         for r in range(rounds + 1):
             p[:, x] = (p[:, x] + 0.1) / (p[:, x] + 0.1).sum()
             if texts and r < rounds:
-                p[:, x] = expected(texts, counts, table, p[:, x])
+                p[:, x] = sum(expected(part, n, table, p[:, x]) for part, n in _parts(texts, counts))
     p[0] = p[0].min() / 10  # a character that is no piece says nothing
     return langs, p, pieces
 
@@ -161,8 +167,8 @@ class Scorer:
         self.rows = np.zeros((MEMO + 1, len(langs)), np.float32)
 
     def _learn(self, fresh: list[str]) -> None:
-        for a in range(0, len(fresh), 20_000):
-            part = fresh[a : a + 20_000]
+        for a in range(0, len(fresh), PART_WORDS):
+            part = fresh[a : a + PART_WORDS]
             units = [unit(x) for x in part]
             at = len(self.memo)
             self.rows[at : at + len(part)] = np.where(np.array([bool(u) for u in units])[:, None], forward(units, self.pieces, self.p), 0)
