@@ -13,7 +13,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm.common import map_batches
+from millrace.llm.common import free_name, map_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -483,9 +483,9 @@ def redact_text(text: str | None, mask: str = "[secret]") -> str | None:
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", mask: str = "[secret]") -> DataFrame:
     """docs, same columns, with secrets masked in the texts and length_col, if there is one, holding the new lengths of changed texts.
 
-    No row goes: what is clean in a document stays. Null and empty texts stay as they are.
+    No row goes: what is clean in a document stays. Null and empty texts stay as they are; repeated rows and an empty table, too.
     """
-    new = "__millrace_text"
+    new = free_name("redacted", docs.columns)
 
     def make():
         return lambda texts: [[redact_text(t, mask) for t in texts]]

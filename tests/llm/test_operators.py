@@ -198,10 +198,24 @@ def test_decontamination_finds_whole_items(spark, sf, texts):
     assert planted and planted <= found
 
 
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """A benchmark of several blocks gives what one block gives."""
+    items = [(i, ITEM.replace("60", str(i)).replace("speed", f"s{'abcdefgh'[i]}peed") + " " + " ".join(f"{'abcdefgh'[i]}{c}word" for c in "abcdefghij")) for i in range(8)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    d = spark.createDataFrame([(i, "before " + t.replace("hours", "days")) for i, t in items] + [(9, "nothing of it")], "doc_id bigint, text string")
+    whole = sorted(map(tuple, decontam.find_contamination(d, bench).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 60)
+    assert sorted(map(tuple, decontam.find_contamination(d, bench).collect())) == whole and {r[:2] for r in whole} >= {(i, i) for i in range(8)}
+    assert [r.doc_id for r in decontam.drop_contaminated(d, bench).collect()] == [9]
+
+
 def test_decontamination_edges(spark, odd, empty):
     none = spark.createDataFrame([], "item_id bigint, text string")
     bench = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
     assert decontam.find_contamination(odd, none).count() == 0 and decontam.find_contamination(empty, bench).count() == 0
+    named = spark.createDataFrame([("x", ITEM)], "item_id string, text string")
+    texts = spark.createDataFrame([("a", ITEM, True), (None, None, None)], "doc_id string, text string, hit boolean")
+    assert [(r.doc_id, r.item_id) for r in decontam.find_contamination(texts, named).collect()] == [("a", "x")] and decontam.drop_contaminated(texts, named).collect() == [(None, None, None)]
     assert decontam.drop_contaminated(odd, bench).count() == len(ODD) and decontam.drop_contaminated(odd, bench).columns == odd.columns
 
 
@@ -316,10 +330,59 @@ def test_rules_few_labels_suffice(spark):
     out = quality_rules.quality_rules(d, labels).collect()
     assert sum(not x.kept for x in out if x.doc_id < 320) <= 0.02 * 320 and not any(x.kept for x in out if x.doc_id >= 320)
     assert quality_rules.least_good() == 203
+    assert quality_rules.least_good(strata=1) == 149 and quality_rules.merged({"short": 20, "middle": 300, "long": 2}, 0.02, 0.05) == [("short", "middle", "long")]
+    assert quality_rules.merged({"short": 300, "middle": 300, "long": 300}, 0.02, 0.05) == [("short",), ("middle",), ("long",)] and quality_rules.merged({"short": 300, "middle": 200, "long": 90}, 0.02, 0.05) == [("short",), ("middle", "long")]
     fewer = quality_rules.quality_rules(d, labels.where("doc_id < 150 or doc_id >= 320")).collect()
     assert all(x.kept != x.base_failed for x in fewer)
 
 
+def test_rules_brute_force(spark):
+    """Cutoffs and verdicts over whole tables at sf0.01, worked out again in plain Python with exact fractions."""
+    from fractions import Fraction
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op5_quality_rules(spark, sf).collect()}
+    hashed = {r.doc_id: r.u for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) / float(1 << 24)).alias("u")).collect()}
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def statistics(t):
+        n, chars, symbols, dup, repeat = base_measures(t)
+        lines = sum(bool(words(x)) for x in t.split("\n"))
+        n = max(n, 1)
+        return {"symbols": symbols / n, "repeats": repeat / n, "dup_lines": dup / max(lines, 1), "capitals": sum(c.isupper() and __import__("unicodedata").category(c) == "Lu" for c in t) / max(chars, 1), "marks": (t.count("!") + t.count("?")) / n, "long_words": chars / n}
+
+    stats = {i: statistics(t) for i, t in texts.items()}
+    failed = {i: base_measures(t)[0] < 50 or 100 * base_measures(t)[4] > 50 * base_measures(t)[0] for i, t in texts.items()}
+    rules = list(quality_rules.RULES)
+    first = {i: tuple(next((k for k, c in enumerate(quality_rules.RULES[r][1]) if s[r] >= c), len(quality_rules.RULES[r][1])) for r in rules) for i, s in stats.items()}
+    held = [i for i in label if label[i] in (0, 1) and not failed[i]]
+    stratum = lambda i: "short" if len(words(texts[i])) < 200 else "middle" if len(words(texts[i])) < 1000 else "long"
+    good = Counter(stratum(i) for i in held if label[i])
+    assert sum(good.values()) * (1 - quality_rules.PATH_SHARE) > quality_rules.least_good(strata=1)
+    cutoffs = 0
+    groups = quality_rules.merged(good, quality_rules.RISK, quality_rules.ERROR)
+    for group in groups:
+        own = [i for i in held if stratum(i) in group]
+        shape = Counter((bool(label[i]), first[i]) for i in own if not label[i] or hashed[i] < quality_rules.PATH_SHARE)
+        chain = quality_rules.path(sorted((g, f, n) for (g, f), n in shape.items()))
+        test = [i for i in own if label[i] and hashed[i] >= quality_rules.PATH_SHARE]
+        at = None
+        for step in chain:
+            k, n, p = sum(any(f <= s for f, s in zip(first[i], step) if s >= 0) for i in test), len(test), Fraction(2, 100)
+            tail = sum(math.comb(n, x) * p**x * (1 - p) ** (n - x) for x in range(k + 1))
+            if tail > Fraction(5, 100) / len(groups):
+                break
+            at = step
+        cutoffs += at is not None
+        for i in texts:
+            if stratum(i) in group:
+                reject = at is not None and any(f <= s for f, s in zip(first[i], at) if s >= 0)
+                assert got[i].kept == (not failed[i] and not reject), i
+    assert cutoffs and any(not r.kept and not r.base_failed for r in got.values())
+
+
 # --- 6 near-duplicates --------------------------------------------------------------------------------------------
 
 

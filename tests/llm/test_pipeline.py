@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import decontam, queries, secrets
@@ -45,6 +46,32 @@ def test_run(spark, sf, stages):
     assert rows(corpus_pipeline.run(spark, sf).toPandas()) == rows(stages[-1].toPandas())
 
 
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "", 0), (3, " \n\t ", "en", "web", 3), (4, "long words go on " * 9000, "en", "web", 9), (5, "plain words here and more of them", "en", "web", 16),
+    (5, "plain words here and more of them", "en", "web", 16), (None, "a row without an id", "en", None, 19), (None, None, None, None, None), (7, "password = 'Zx9$kQ!72mLp' déjà vu", "fr", "b`c", 15),
+]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stage_edges(spark, sf, tmp_path, name, stage):
+    """Nulls in every column, empty and long texts, repeated rows, ties, clashing names, and an empty table."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame(ODD, schema)
+    for c in ("row", "score", "hit", "taken", "size", "weight", "redacted", "kept_id", "key"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    out = stage(spark, docs, sf)
+    assert out.columns[: len(docs.columns)] == docs.columns if name == "mixing" else out.columns == docs.columns
+    got = out.collect()
+    assert all(r["row"] == r["score"] == r["hit"] == r["taken"] == r["size"] == r["weight"] == r["redacted"] == r["kept_id"] == r["key"] == "clash" for r in got)
+    n = {"quality classifier": None, "near-duplicates": len(ODD) - 1, "decontamination": len(ODD), "secret scan": len(ODD), "mixing": None}[name]
+    assert len(got) == n if n is not None else 0 < len(got) <= len(ODD)
+    if name == "quality classifier":  # equal texts share their fate
+        assert len({r.doc_id in {x.doc_id for x in got} for r in docs.where("coalesce(text, '') = '' and doc_id is not null").collect()}) == 1
+    if name == "secret scan":
+        assert {r.text for r in got if r.doc_id == 7} == {"password = '[secret]' déjà vu"}
+    assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_twins(spark, sf, name):
     con = duckdb.connect()
