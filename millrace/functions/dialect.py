@@ -120,7 +120,7 @@ def _strftime() -> str:
 
 
 FUNCTIONS["strftime"] = ("fmt STRING, t TIMESTAMP_NTZ", "STRING", _strftime())
-FUNCTIONS["strptime"] = ("fmt STRING, s STRING", "TIMESTAMP_NTZ", "CAST(try_to_timestamp(s, " + "".join("replace(" for _ in _LETTERS) + "fmt" + "".join(f", '%{c}', '{p}')" for c, p in _LETTERS.items()) + ") AS TIMESTAMP_NTZ)")
+FUNCTIONS["strptime"] = ("fmt STRING, s STRING", "TIMESTAMP_NTZ", "CAST(try_to_timestamp(s, " + "".join("replace(" for _ in _LETTERS) + "regexp_replace(fmt, '(?<!%)([A-Za-z])', concat(chr(39), '$1', chr(39)))" + "".join(f", '%{c}', '{p}')" for c, p in _LETTERS.items()) + ") AS TIMESTAMP_NTZ)")
 
 
 def strptime(fmt: str, s: Column | str) -> Column:
@@ -148,6 +148,12 @@ def type_name(spark_type: str, logical: str | None = None) -> str:
     return _TYPES.get(spark_type, spark_type)
 
 
+def type_of_text(x: str) -> str:
+    """TYPEOF(x) in SQL text."""
+    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPES.items())
+    return f"CASE WHEN ({x}) IS NULL THEN 'null' WHEN typeof({x}) LIKE 'array%' THEN 'vector' ELSE CASE typeof({x}) {cases} ELSE typeof({x}) END END"
+
+
 def type_of(df, column: str) -> Column:
     """TYPEOF: the dialect's name of a column's type, 'null' where the value is NULL."""
     field = df.schema[column]

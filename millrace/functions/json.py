@@ -55,13 +55,14 @@ def _get(doc, at):
 
 
 def _holds(doc, wanted) -> bool:
-    if isinstance(wanted, list):
-        return all(_holds(doc, w) for w in wanted)
-    if type(doc) is type(wanted) and doc == wanted or isinstance(doc, (int, float)) and isinstance(wanted, (int, float)) and not isinstance(doc, bool) and not isinstance(wanted, bool) and doc == wanted:
+    """Whether a value stands anywhere in a document; an array stands in one that holds each of its elements, an object only as a whole."""
+    if type(doc) is type(wanted) and dump(doc) == dump(wanted):
         return True
-    if isinstance(doc, dict) and isinstance(wanted, dict):
-        return all(k in doc and _holds(doc[k], v) for k, v in wanted.items()) or any(_holds(v, wanted) for v in doc.values())
-    return any(_holds(v, wanted) for v in (doc.values() if isinstance(doc, dict) else doc if isinstance(doc, list) else ()))
+    if isinstance(doc, dict):
+        return any(_holds(v, wanted) for v in doc.values())
+    if isinstance(doc, list):
+        return all(any(_holds(c, w) for c in doc) for w in wanted) if isinstance(wanted, list) else any(_holds(c, wanted) for c in doc)
+    return False
 
 
 def contains_value(text, target, path=None) -> bool | None:
@@ -69,7 +70,7 @@ def contains_value(text, target, path=None) -> bool | None:
     if doc is _BAD or wanted is _BAD or at is None:
         return None
     part = _get(doc, at)
-    return False if part is _BAD else _holds(part, wanted)
+    return None if part is _BAD else _holds(part, wanted)
 
 
 def _embedded(value):

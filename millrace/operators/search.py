@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +9,11 @@ from millrace.functions.dialect import call, install
 
 #: Runs of letters, digits, underscores and hyphens, lower-cased.
 TOKEN = r"([\p{L}\p{N}_-]+)"
+_IN, _OUT = r"(?<![\p{L}\p{N}_-])", r"(?![\p{L}\p{N}_-])"  # a token begins and ends here
 K1, B = 1.2, 0.75
 RRF_K = 60
-#: Query vectors that are compared with every row in one pass, and their bytes at most in a plan.
-QUERY_BLOCK = 256
+#: Query vectors that a task compares with a batch at once, and that are sent to the workers for one pass over the rows.
+QUERY_BLOCK, QUERY_PASS = 256, 4096
 METRICS = {"l2": lambda a, b: call("vector_l2_squared", a, b), "ip": lambda a, b: -call("vector_inner", a, b), "cosine": lambda a, b: -call("vector_cosine_similarity", a, b)}
 
 
@@ -50,14 +50,11 @@ def vector_search_many(df: DataFrame, queries: list[tuple[int, list[float]]], k:
         best_d = [np.zeros(0)] * len(ids)
         best_r = [np.zeros(0, np.int64)] * len(ids)
         for b in batches:
-            rows, vecs = [], []
-            for r, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if v is not None and len(v) == qv.shape[1]:
-                    rows.append(r)
-                    vecs.append(v)
-            if not rows:
+            fits = np.nonzero(b.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == qv.shape[1])[0] if len(ids) else []
+            if not len(fits):
                 continue
-            x, r = np.array(vecs, float), np.array(rows, np.int64)
+            x = b.column(1).take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(fits), -1)
+            r = b.column(0).to_numpy(zero_copy_only=False)[fits].astype(np.int64)
             for a in range(0, len(ids), QUERY_BLOCK):
                 part = qv[a : a + QUERY_BLOCK]
                 if metric == "l2":
@@ -79,6 +76,26 @@ def vector_search_many(df: DataFrame, queries: list[tuple[int, list[float]]], k:
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "row_id"))).where(F.col("rank") <= k)
 
 
+def vector_search_table(df: DataFrame, queries: DataFrame, k: int, **how) -> DataFrame:
+    """vector_search_many for a table of queries (query_id, vector) of any size: blocks of QUERY_PASS come to the driver one after the other, each for one pass over the rows."""
+    from millrace.session import written
+
+    out, block = None, []
+
+    def passed(block):
+        found = vector_search_many(df, block, k, **how)
+        return written(found, "near")
+
+    for r in queries.select("query_id", "vector").toLocalIterator():
+        block.append((r[0], list(r[1])))
+        if len(block) == QUERY_PASS:
+            out, block = passed(block) if out is None else out.unionAll(passed(block)), []
+    if block or out is None:
+        last = passed(block) if out is not None else vector_search_many(df, block, k, **how)
+        out = last if out is None else out.unionAll(last)
+    return out
+
+
 # --- text -----------------------------------------------------------------------------------------------------------
 
 
@@ -128,8 +145,12 @@ def bm25(df: DataFrame, query: str, k: int | None = 10, *, id_col: str = "doc_id
     total length and document frequencies, and k rows a task at the end. A query token that is repeated counts once.
     """
     wanted = list(dict.fromkeys(tokenize(query)))
-    counted = once(tokens(F.col(f"`{text_col}`")), lambda t: F.struct(F.size(t).alias("doc_len"), *[F.size(F.filter(t, _is(w))).alias(f"tf{i}") for i, w in enumerate(wanted)]))
-    d = df.select(F.col(f"`{id_col}`").alias("doc_id"), counted.alias("c")).select("doc_id", "c.*")
+    if not wanted:
+        return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
+    low = F.lower(F.col(f"`{text_col}`"))
+    hits = F.regexp_extract_all(low, F.lit(f"{_IN}({'|'.join(sorted(wanted, reverse=True))}){_OUT}"))  # tokens have no signs that a pattern takes otherwise
+    counted = once(hits, lambda t: F.struct(*[F.size(F.filter(t, _is(w))).alias(f"tf{i}") for i, w in enumerate(wanted)]))
+    d = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.regexp_count(low, F.lit(TOKEN)), F.lit(0)).alias("doc_len"), counted.alias("c")).select("doc_id", "doc_len", *[F.coalesce(f"c.tf{i}", F.lit(0)).alias(f"tf{i}") for i in range(len(wanted))])
     stats = d.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("len"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(wanted))]).first()
     n, mean = stats["n"] or 0, (stats["len"] or 0) / max(stats["n"] or 0, 1) or 1.0
     score = F.lit(0.0)
@@ -154,37 +175,40 @@ def edit_distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def edit_similarity(a: list[str], b: list[str]) -> float:
-    """1 - distance / longer length, and a tenth of the share of tokens that the two begin with alike, 1 at most."""
-    if not a and not b:
-        return 1.0
+def edit_similarity(a: list[str], b: list[str]) -> float | None:
+    """1 - distance / longer length, and a tenth of the share of the query a that b begins with, 1 at most; None if half of the longer and one more are to be changed."""
     longer, prefix = max(len(a), len(b)), 0
     for x, y in zip(a, b, strict=False):
         if x != y:
             break
         prefix += 1
-    return min(1.0, 1.0 - edit_distance(a, b) / longer + 0.1 * prefix / longer)
+    d = edit_distance(a, b)
+    return None if not b or d > longer // 2 + 1 else min(1.0, 1.0 - d / longer + 0.1 * prefix / max(len(a), 1))
 
 
 def fuzzy_edit(df: DataFrame, query: str, k: int | None = 10, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """doc_id and similarity of the k documents whose token lists are nearest to the query's by edit distance.
+    """doc_id and similarity (see edit_similarity) of the documents with a token of the query whose token lists are nearest to the query's.
 
-    Documents that share no token with the query cannot score above a tenth and are left out before Python sees them, as are those so long or short
-    that the length alone keeps them under least.
+    Each of the query's tokens stands for one letter and all other tokens for one more, which changes no distance; so lists are compared as strings by the JVM's
+    edit distance. Documents whose length alone is too far from the query's never get there.
     """
     wanted = tokenize(query)
-    d = df.select(F.col(f"`{id_col}`").alias("doc_id"), tokens(F.col(f"`{text_col}`")).alias("t"))
+    d = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.lower(F.col(f"`{text_col}`")).alias("low"))
     if not wanted:
         return d.limit(0).select("doc_id", F.lit(0.0).alias("similarity"))
-    d = d.where(F.arrays_overlap("t", F.array(*map(F.lit, dict.fromkeys(wanted)))))
-    bound = F.least(F.size("t"), F.lit(len(wanted))) / F.greatest(F.size("t"), F.lit(len(wanted))) * 1.1
-    d = d.where(bound >= least)
-
-    @F.pandas_udf("double")
-    def similarity(t: pd.Series) -> pd.Series:
-        return pd.Series([edit_similarity(list(x), wanted) for x in t])
-
-    out = d.select("doc_id", similarity("t").alias("similarity")).where(F.col("similarity") >= least)
+    letters = {w: chr(0x4E00 + i) for i, w in enumerate(dict.fromkeys(wanted))}
+    n, longer = len(wanted), F.greatest(F.col("n"), F.lit(len(wanted)))
+    d = d.where(F.col("low").rlike(f"{_IN}({'|'.join(sorted(letters, reverse=True))}){_OUT}")).withColumn("n", F.regexp_count("low", F.lit(TOKEN)))
+    most = F.floor(longer / 2).cast("int") + 1
+    d = d.where(F.abs(F.col("n") - n) <= most)
+    known = F.create_map(*[F.lit(x) for pair in letters.items() for x in pair])
+    d = d.withColumn("s", F.concat_ws("", F.transform(tokens(F.col("low")), lambda t: F.coalesce(F.element_at(known, t), F.lit("#")))))
+    own = "".join(letters[w] for w in wanted)
+    prefix = F.lit(0)
+    for i in range(n, 0, -1):
+        prefix = F.when(F.col("s").startswith(own[:i]), i).otherwise(prefix) if i == n else F.when(prefix > 0, prefix).otherwise(F.when(F.col("s").startswith(own[:i]), i).otherwise(0))
+    d = d.withColumn("distance", F.levenshtein("s", F.lit(own))).where(F.col("distance") <= most)
+    out = d.select("doc_id", F.least(F.lit(1.0), 1.0 - F.col("distance") / longer + 0.1 * prefix / n).alias("similarity")).where(F.col("similarity") >= least)
     return out.orderBy(F.desc("similarity"), "doc_id").limit(k) if k is not None else out
 
 
@@ -198,6 +222,9 @@ def fuzzy_ngram(df: DataFrame, query: str, k: int | None = 10, *, n: int = 2, id
     words = tokenize(query)
     own = list(dict.fromkeys(" ".join(words[i : i + n]) for i in range(len(words) - n + 1)))
     q = F.array(*map(F.lit, own)) if own else F.array().cast("array<string>")
+    if own:  # only where one of them stands are all of a text's n-grams made
+        apart = r"[^\p{L}\p{N}_-]+"
+        df = df.where(F.lower(F.col(f"`{text_col}`")).rlike(_IN + "(" + "|".join(apart.join(g.split(" ")) for g in own) + ")" + _OUT))
     d = df.select(F.col(f"`{id_col}`").alias("doc_id"), once(once(tokens(F.col(f"`{text_col}`")), lambda t: ngrams(t, n)), lambda g: F.struct(F.size(g).alias("n"), F.size(F.array_intersect(g, q)).alias("both"))).alias("c")).select("doc_id", "c.*")
     out = d.where("both > 0").select("doc_id", (F.col("both") / (F.col("n") + len(own) - F.col("both"))).alias("similarity"))
     return out.orderBy(F.desc("similarity"), "doc_id").limit(k) if k is not None else out

@@ -1,8 +1,9 @@
 """Tables that change: versions, constraints, upserts, transactions, TTL and materialised views over Parquet files.
 
 A version of a table is a manifest: its columns, properties and the list of its data files. Files are never changed. An append adds files; an update,
-delete or upsert finds the files that hold affected rows and rewrites only those. A commit creates the next manifest under its number, which
-fails if somebody else has created it before: the first one wins, and readers always see a whole version.
+delete or upsert finds the files that hold affected rows and rewrites only those. A commit writes the next manifest aside and renames it to its number, which
+fails if somebody else has that number already: the first one wins, and readers always see a whole version. (The rename must not replace a file: so it is on
+HDFS and local disks; an object store needs a committer that gives the same.) A transaction's manifests name it, and count from the moment its one commit record is there.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import types as T
 #: What an engine allows: changes of rows, indexes, TTL, ALTER, keys.
 CAPABILITIES = {
     "columnar": {"update", "delete", "upsert", "index", "vector_index", "ttl", "alter", "primary_key", "persistent"},
-    "memory": {"update", "delete", "upsert", "primary_key", "alter", "ttl"},
-    "log": {"ttl", "persistent"},
+    "memory": {"update", "delete", "upsert", "primary_key"},
+    "log": {"persistent"},
 }
 
 
@@ -56,7 +57,7 @@ class Files:
     """The few file operations that manifests need, through Hadoop's interface, so any store that Spark can write serves."""
 
     def __init__(self, spark: SparkSession):
-        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.spark, self.jvm, self.conf = spark, spark._jvm, spark._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -67,13 +68,23 @@ class Files:
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
     def create(self, path: str, text: str) -> None:
-        """Fails if the file is there already."""
+        """A whole file or none: written aside, then renamed. Fails if the name is taken."""
         fs, p = self._at(path)
-        out = fs.create(p, False)
+        aside = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+        _, q = self._at(aside)
+        out = fs.create(q, False)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
+        options = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        none = self.spark.sparkContext._gateway.new_array(options, 1)
+        none[0] = options.NONE
+        try:
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf).rename(q, p, none)
+        except Exception:
+            fs.delete(q, False)
+            raise
 
     def read(self, path: str) -> str:
         fs, p = self._at(path)
@@ -95,17 +106,37 @@ class Catalog:
         self.spark, self.root, self.fs = spark, root.rstrip("/"), Files(spark)
         self._open: dict | None = None  # table: (version it is based on, manifest) of the transaction
         self._savepoints: list[tuple[str, dict]] = []
+        self._known: dict[tuple[str, int], Manifest] = {}  # manifests that count; they never change
 
     # versions ---------------------------------------------------------------------------------------------------
 
     def _log(self, table: str) -> str:
         return f"{self.root}/{table.lower()}/_log"
 
-    def versions(self, table: str) -> list[int]:
+    def _numbers(self, table: str) -> list[int]:
         return [int(n[:-5]) for n in self.fs.names(self._log(table)) if re.fullmatch(r"\d{12}\.json", n)]
 
+    def versions(self, table: str) -> list[int]:
+        """The versions that count: all but those of transactions without a commit record, which are the last ones if any."""
+        v = self._numbers(table)
+        while v and self._load(table, v[-1]) is None:
+            v.pop()
+        return [x for x in v if self._load(table, x) is not None] if any((table.lower(), x) not in self._known for x in v) else v
+
+    def _load(self, table: str, version: int) -> Manifest | None:
+        key = table.lower(), version
+        if key not in self._known:
+            m = Manifest(**json.loads(self.fs.read(f"{self._log(table)}/{version:012d}.json")))
+            if (txn := m.props.get("txn")) and self._fate(txn) != "commit":
+                return None
+            self._known[key] = m
+        return self._known[key]
+
+    def _fate(self, txn: str) -> str | None:
+        return self.fs.read(f"{self.root}/_transactions/{txn}") if txn in self.fs.names(f"{self.root}/_transactions") else None
+
     def tables(self) -> list[str]:
-        names = {n for n in self.fs.names(self.root) if self.versions(n) and not self._stored(n).props.get("dropped")}
+        names = {n for n in self.fs.names(self.root) if n != "_transactions" and self.versions(n) and not self._stored(n).props.get("dropped")}
         if self._open is not None:
             names = {n for n in names | set(self._open) if n not in self._open or not self._open[n][1].props.get("dropped")}
         return sorted(names)
@@ -114,7 +145,7 @@ class Catalog:
         v = self.versions(table)
         if not v or version is not None and version not in v:
             raise TableError(f"no table {table}" + (f" at version {version}" if v else ""))
-        return Manifest(**json.loads(self.fs.read(f"{self._log(table)}/{(v[-1] if version is None else version):012d}.json")))
+        return copy.deepcopy(self._load(table, v[-1] if version is None else version))
 
     def manifest(self, table: str, version: int | None = None) -> Manifest:
         t = table.lower()
@@ -140,18 +171,36 @@ class Catalog:
         if self._open is not None:
             base = self._open[t][0] if t in self._open else self._pin(t) or 0
             self._open[t] = (base, m)
+            m.props.pop("txn", None)
         else:
+            m.props.pop("txn", None)
             v = self.versions(t)
             self._commit(t, (v[-1] if v else 0), m)
 
     def _commit(self, table: str, base: int, m: Manifest) -> None:
+        """The next version after base. What a transaction that never ended has left in between is ended for it first, so that it cannot come in later."""
+        taken = [v for v in self._numbers(table) if v > base]
+        for v in taken:
+            txn = json.loads(self.fs.read(f"{self._log(table)}/{v:012d}.json"))["props"].get("txn")
+            if txn and self._fate(txn) is None and txn != m.props.get("txn"):
+                try:
+                    self.fs.create(f"{self.root}/_transactions/{txn}", "abort")
+                except Exception:  # noqa: BLE001 - it has ended meanwhile, one way or the other
+                    pass
+        if (self.versions(table) or [0])[-1] != base:
+            raise TableError(f"{table} was changed meanwhile; there is a version after {base}")
+        number = max([base, *taken]) + 1
         try:
-            self.fs.create(f"{self._log(table)}/{base + 1:012d}.json", m.text())
+            self.fs.create(f"{self._log(table)}/{number:012d}.json", m.text())
         except Exception as e:  # noqa: BLE001 - the store says in its own way that the version exists
-            if base + 1 in self.versions(table):
-                raise TableError(f"{table} was changed meanwhile; version {base + 1} exists") from e
+            if number in self._numbers(table):
+                raise TableError(f"{table} was changed meanwhile; version {number} exists") from e
             raise
 
+    @property
+    def in_transaction(self) -> bool:
+        return self._open is not None
+
     def begin(self) -> None:
         if self._open is not None:
             raise TableError("a transaction is open already")
@@ -164,8 +213,18 @@ class Catalog:
         changed, self._open = self._open, None
         if stale := [t for t, (base, _) in changed.items() if (self.versions(t) or [0])[-1] != base]:
             raise TableError(f"{stale[0]} was changed meanwhile; nothing is committed")
-        for t, (base, m) in changed.items():
+        if len(changed) == 1:
+            return self._commit(*next((t, base, m) for t, (base, m) in changed.items()))
+        txn = uuid.uuid4().hex
+        for t, (base, m) in sorted(changed.items()):
+            m.props["txn"] = txn
             self._commit(t, base, m)
+        if changed:
+            try:
+                self.fs.create(f"{self.root}/_transactions/{txn}", "commit")
+            except Exception as e:  # noqa: BLE001
+                raise TableError("another commit has ended this transaction; nothing is committed") from e
+        return None
 
     def rollback(self, savepoint: str | None = None) -> None:
         self._in()
@@ -400,11 +459,12 @@ class Catalog:
         self._put(table, m)
         return self._frame(m, new)
 
-    def upsert(self, table: str, df: DataFrame, *, key: list[str] | None = None, update: dict[str, str] | None = None, order: str | None = None) -> None:
-        """Inserts rows whose key is new. For others: nothing if update is None; else the old row with update's columns set.
+    def upsert(self, table: str, df: DataFrame, *, key: list[str] | None = None, update: dict[str, str] | None = None, order: str | None = None) -> DataFrame:
+        """Inserts rows whose key is new. For others: nothing if update is None; else the old row with update's columns set. Returns the rows inserted and updated, as stored.
 
         update maps columns to SQL expressions over the old row's columns and excluded.c, the new row's. Of new rows that share a key the last in the
-        order of a column of df counts (any one without order). A NULL in a key is never equal to another. Only files that hold matched keys are rewritten.
+        order of a column of df counts (any one without order). A NULL in a key is never equal to another. NOT NULL, all keys and foreign keys hold for what is
+        inserted and updated, against the rows that stay. Only files that hold matched keys are rewritten.
         """
         m = self._can(table, "upsert")
         key = key or next(iter(self._keys(m)), None)
@@ -417,24 +477,36 @@ class Catalog:
             ranked = df.withColumn("__turn", F.row_number().over(w)).where((F.col("__turn") == 1) | some_null).drop("__turn")
             ranked = ranked.drop(order) if order and order.lower() not in {c["name"].lower() for c in m.columns} else ranked
         rows = self._stable(self._filled(table, m, ranked))
-        old = self._frame(m, m.files, with_file=True)
-        fresh = rows.join(old.select(*key), key, "left_anti").select(*rows.columns)
-        self._check(table, m, fresh, None)
-        files = list(m.files)
-        if update is not None and files:
-            given = {c.lower(): c for c in update}
-            e = rows.select(*[F.col(f"`{c}`").alias(f"excluded__{c}") for c in rows.columns])
-            on = [F.col(f"o.`{c}`") == F.col(f"excluded__{c}") for c in key]
-            touched = [r[0] for r in old.alias("o").join(e, on, "left_semi").select("__file").distinct().collect()]
-            if touched:
-                kept = self._frame(m, touched)
-                joined = kept.alias("o").join(e, on, "left")
-                hit = F.col(f"excluded__{key[0]}").isNotNull()
-                values = {c["name"]: F.expr(re.sub(r"\bexcluded\s*\.\s*`?(\w+)`?", r"excluded__\1", update[given[c["name"].lower()]], flags=re.I)).cast(c["type"]) for c in m.columns if c["name"].lower() in given}
-                changed = joined.select(*[F.when(hit, values[c["name"]]).otherwise(F.col(f"o.`{c['name']}`")).alias(c["name"]) if c["name"] in values else F.col(f"o.`{c['name']}`") for c in m.columns])
-                files = self._without(files, touched) + self._write(table, m, changed)
-        m.files = files + self._write(table, m, fresh)
+        files, names = list(m.files), [c["name"] for c in m.columns]
+        if not files:
+            return self._upserted(table, m, rows, None, None, files, [])
+        old = self._frame(m, files, with_file=True)
+        fresh = rows.join(old.select(*key), key, "left_anti").select(*names)
+        if update is None:
+            return self._upserted(table, m, fresh, None, old.drop("__file"), files, [])
+        given = {c.lower(): c for c in update}
+        e = rows.select(*[F.col(f"`{c}`").alias(f"excluded__{c}") for c in names])
+        on = [F.col(f"o.`{c}`") == F.col(f"excluded__{c}") for c in key]
+        values = {c["name"]: F.expr(re.sub(r"\bexcluded\s*\.\s*`?(\w+)`?", r"excluded__\1", update[given[c["name"].lower()]], flags=re.I)).cast(c["type"]) for c in m.columns if c["name"].lower() in given}
+        changed = old.alias("o").join(e, on).select(*[values[c].alias(c) if c in values else F.col(f"o.`{c}`") for c in names], F.col("__file"))
+        changed = self._stable(changed)
+        touched = [r[0] for r in changed.select("__file").distinct().collect()]  # files, not rows
+        rest = old.join(rows.select(*key), key, "left_anti").select(*names, "__file")
+        return self._upserted(table, m, fresh, changed.select(*names), rest, files, touched)
+
+    def _upserted(self, table: str, m: Manifest, fresh: DataFrame, changed: DataFrame | None, rest: DataFrame | None, files: list[str], touched: list[str]) -> DataFrame:
+        """Stores an upsert's rows: fresh ones, changed ones (with what stays of the touched files). rest: all rows that stay."""
+        names = [c["name"] for c in m.columns]
+        new = fresh if changed is None else fresh.unionByName(changed)
+        self._check(table, m, new, rest.select(*names) if rest is not None else None)
+        added = self._write(table, m, new)
+        if touched:
+            kept = self._frame(m, touched, with_file=True)
+            stay = rest.where(F.col("__file").isin(touched)) if len(touched) <= 1000 else rest.join(kept.select("__file").distinct(), "__file", "left_semi")
+            files = self._without(files, touched) + self._write(table, m, stay.select(*names))
+        m.files = files + added
         self._put(table, m)
+        return self._frame(m, added)
 
     def _without(self, files: list[str], gone: list[str]) -> list[str]:
         names = {g.rpartition("/data-")[2] for g in gone}
@@ -472,6 +544,12 @@ class Catalog:
             self._put(table, m)
         return sum(r["n"] for r in touched)
 
+    def replace(self, table: str, df: DataFrame) -> None:
+        """df's rows instead of the table's, without checks of keys."""
+        m = self.manifest(table)
+        m.files = self._write(table, m, self._filled(table, m, df))
+        self._put(table, m)
+
     def truncate(self, table: str) -> None:
         m = self.manifest(table)
         m.files, m.props["next_auto"] = [], 1
@@ -488,6 +566,19 @@ class Catalog:
         m.files = self._write(table, m, df)
         self._put(table, m)
 
+    def vacuum(self, table: str, keep: int = 1) -> int:
+        """Removes data that no version among the last keep ones names (of rewrites, drops, rollbacks and failed writes), and older versions; how many folders. Not while others write."""
+        v = self.versions(table)
+        kept = [self._load(table, x) for x in v[-keep:]]
+        used = {f.rpartition("/data-")[2].partition("/")[0] for m in kept for f in m.files}
+        gone = [n for n in self.fs.names(f"{self.root}/{table.lower()}") if n.startswith("data-") and n.removeprefix("data-") not in used]
+        for x in v[:-keep]:
+            self.fs.delete(f"{self._log(table)}/{x:012d}.json")
+            self._known.pop((table.lower(), x), None)
+        for n in gone:
+            self.fs.delete(f"{self.root}/{table.lower()}/{n}")
+        return len(gone)
+
     # views and information ---------------------------------------------------------------------------------------
 
     def create_view(self, name: str, sql: str, df: DataFrame) -> None:
@@ -505,20 +596,23 @@ class Catalog:
 
     def pragma(self, what: str, arg: str | None = None) -> DataFrame:
         mk = self.spark.createDataFrame
-        if what in ("table_info", "columns"):
-            names = [arg] if arg else self.tables()
-            rows = [(t, k, c.name, c.type, not c.nullable, c.default, c.primary_key) for t in names for k, c in enumerate(self.columns(t))]
-            return mk(rows, "table_name string, cid int, name string, type string, notnull boolean, dflt_value string, pk boolean")
-        if what == "tables":
-            return mk([(t, self.manifest(t).props["engine"]) for t in self.tables()], "name string, engine string")
+        if what == "table_info":
+            rows = [(k, c.name, c.type, not c.nullable, c.default, c.primary_key) for k, c in enumerate(self.columns(arg or ""))]
+            return mk(rows, "cid int, name string, type string, notnull boolean, dflt_value string, pk boolean")
+        if what in ("columns", "information_schema_columns"):
+            rows = [(t, c.name, k, c.type, c.nullable, c.primary_key, c.auto_increment) for t in ([arg] if arg else self.tables()) for k, c in enumerate(self.columns(t))]
+            return mk(rows, "table_name string, column_name string, ordinal_position int, data_type string, nullable boolean, is_primary_key boolean, auto_increment boolean")
+        if what in ("tables", "information_schema_tables"):
+            rows = [(t, "BASE TABLE", self.read(t).count(), len(m.columns), ", ".join(c["name"] for c in m.columns if c["primary_key"]) or None, bool(m.props.get("ttl")), m.props["engine"]) for t in self.tables() for m in [self.manifest(t)]]
+            return mk(rows, "table_name string, table_type string, row_count bigint, column_count int, primary_key string, has_ttl boolean, engine string")
         if what == "database_list":
             return mk([(0, "main", self.root)], "seq int, name string, file string")
-        if what in ("indexes", "index_list"):
-            rows = [(t, n, i["unique"], i["kind"]) for t in ([arg] if arg else self.tables()) for n, i in self.manifest(t).props["indexes"].items()]
-            return mk(rows, "table_name string, name string, is_unique boolean, kind string")
+        if what in ("indexes", "index_list", "information_schema_indexes"):
+            rows = [(t, n, i["kind"], ", ".join(i["columns"]), ", ".join(i["include"]), i["unique"]) for t in ([arg] if arg else self.tables()) for n, i in self.manifest(t).props["indexes"].items()]
+            return mk(rows, "table_name string, index_name string, index_type string, key_columns string, included_columns string, unique boolean")
         if what == "index_info":
-            rows = [(k, c) for t in self.tables() for n, i in self.manifest(t).props["indexes"].items() if n == (arg or "").lower() for k, c in enumerate(i["columns"])]
-            return mk(rows, "seqno int, name string")
+            rows = [(k, c, n) for t in self.tables() for n, i in self.manifest(t).props["indexes"].items() if (arg or "").lower() in (n, t) for k, c in enumerate(i["columns"])]
+            return mk(rows, "seqno int, name string, index_name string")
         if what == "page_count":
             return mk([(sum(len(self.manifest(t).files) for t in self.tables()),)], "page_count int")
         fixed = {"journal_mode": "manifest", "synchronous": "full", "cache_size": "0", "page_size": "0"}

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions.udf import Registry, square, strlen
 from millrace.operators.engine import Engine
-from millrace.operators.tables import Catalog, ColumnDef
+from millrace.operators.relational import write_clustered
+from millrace.operators.tables import Catalog, ColumnDef, TableError
 from millrace.plans.registry import query, table
 from millrace.session import fresh_path
+from millrace.sources import datasource, readers
 
 _ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice"
 
@@ -43,11 +45,22 @@ def s15(spark, d):
     return e.execute("SELECT * FROM t")
 
 
-@query("S16_returning", "SELECT 1 AS id, 'a' AS v UNION ALL SELECT 2, 'b'")
+@query("S16_returning", "SELECT o_orderkey AS k, o_totalprice * 2 AS twice FROM orders WHERE o_orderstatus = 'F'")
 def s16(spark, d):
     e = Engine(spark)
-    e.execute("CREATE TABLE t (id INT PRIMARY KEY AUTO_INCREMENT, v VARCHAR)")
-    return e.execute("INSERT INTO t (v) VALUES ('a'), ('b') RETURNING id, v").select(F.col("id").cast("int"), "v")
+    e.register("millrace_source", _orders(spark, d))
+    e.execute("CREATE TABLE t (o_orderkey INT PRIMARY KEY, o_totalprice DOUBLE)")
+    return e.execute("INSERT INTO t SELECT o_orderkey, o_totalprice FROM millrace_source WHERE o_orderstatus = 'F' RETURNING o_orderkey AS k, o_totalprice * 2 AS twice")
+
+
+@query("S16_returning_upserts", "SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'old' ELSE 'new' END AS v FROM orders")
+def s16u(spark, d):
+    """RETURNING of an upsert gives the rows that it inserted and those that it changed."""
+    e = Engine(spark)
+    e.register("millrace_source", _orders(spark, d))
+    e.execute("CREATE TABLE t (k INT PRIMARY KEY, v VARCHAR)")
+    e.execute("INSERT INTO t SELECT o_orderkey, '' FROM millrace_source WHERE o_orderstatus = 'F'")
+    return e.execute("INSERT INTO t SELECT o_orderkey, 'new' FROM millrace_source ON CONFLICT (k) DO UPDATE SET v = 'old' RETURNING k, v")
 
 
 @query(
@@ -112,15 +125,182 @@ def s22(spark, d):
     return e.execute("SELECT s, n FROM t")
 
 
-@query("S23_import_columns", "SELECT n_nationkey AS k, n_name AS v FROM nation")
+@query("S23_import_columns", "SELECT o_orderkey AS k, o_orderpriority AS v FROM orders")
 def s23(spark, d):
     e = Engine(spark)
-    e.execute("CREATE TABLE t (k SMALLINT, v VARCHAR)")
-    t = table(spark, d, "nation").toArrow()
-    e.import_columns("t", {"k": t.column("n_nationkey"), "v": t.column("n_name")})
+    e.execute("CREATE TABLE t (k INT, v VARCHAR)")
+    t = table(spark, d, "orders").select("o_orderkey", "o_orderpriority").toArrow()  # columns that a caller holds
+    e.import_columns("t", {"k": t.column("o_orderkey"), "v": t.column("o_orderpriority")})
     return e.execute("SELECT k, v FROM t")
 
 
+def _refused(e: Engine, *statements: str) -> int:
+    """How many of the statements a constraint turns down."""
+    n = 0
+    for x in statements:
+        try:
+            e.execute(x)
+        except TableError:
+            n += 1
+    return n
+
+
+@query("D01_not_null", f"SELECT {_ORDERS}, 3 AS refused FROM orders")
+def d01(spark, d):
+    """A row that lacks a value keeps all of its statement's rows out, whether inserted, updated or upserted."""
+    e = Engine(spark)
+    e.register("millrace_source", _orders(spark, d))
+    e.execute("CREATE TABLE t (o_orderkey INT PRIMARY KEY, o_custkey INT NOT NULL, o_orderstatus VARCHAR, o_totalprice DOUBLE)")
+    e.execute("INSERT INTO t SELECT * FROM millrace_source")
+    n = _refused(
+        e, "INSERT INTO t SELECT -1 - o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END, o_orderstatus, o_totalprice FROM millrace_source", "UPDATE t SET o_custkey = NULL WHERE o_totalprice > 1000",
+        "INSERT INTO t SELECT * FROM millrace_source ON CONFLICT (o_orderkey) DO UPDATE SET o_custkey = NULL",
+    )
+    return e.execute("SELECT * FROM t").withColumn("refused", F.lit(n))
+
+
+@query("D02_keys", "SELECT c_custkey, c_name, 4 AS refused FROM customer")
+def d02k(spark, d):
+    """A primary key and a UNIQUE column, against the rows that are there and those of the same statement, for inserts, updates and upserts on the other key."""
+    e = Engine(spark)
+    e.register("millrace_source", table(spark, d, "customer").select("c_custkey", "c_name"))
+    e.execute("CREATE TABLE t (c_custkey INT PRIMARY KEY, c_name VARCHAR UNIQUE)")
+    e.execute("INSERT INTO t SELECT * FROM millrace_source")
+    n = _refused(
+        e, "INSERT INTO t SELECT c_custkey, c_name || '+' FROM millrace_source", "INSERT INTO t SELECT -1 - c_custkey, 'one' FROM millrace_source", "UPDATE t SET c_name = 'one'",
+        "INSERT INTO t SELECT -1 - c_custkey, c_name FROM millrace_source ON CONFLICT (c_custkey) DO UPDATE SET c_name = excluded.c_name",
+    )
+    return e.execute("SELECT * FROM t").withColumn("refused", F.lit(n))
+
+
+@query("D05_foreign_keys", "SELECT o_orderkey, o_custkey, 1 AS refused FROM orders")
+def d05(spark, d):
+    """An enforced foreign key holds; one that is only declared does not keep rows out."""
+    e = Engine(spark)
+    e.register("millrace_source", _orders(spark, d))
+    e.register("millrace_customers", table(spark, d, "customer").select("c_custkey"))
+    e.execute("CREATE TABLE c (c_custkey INT PRIMARY KEY)")
+    e.execute("INSERT INTO c SELECT * FROM millrace_customers")
+    e.execute("CREATE TABLE t (o_orderkey INT, o_custkey INT, FOREIGN KEY (o_custkey) REFERENCES c (c_custkey) ENFORCED)")
+    e.execute("CREATE TABLE u (o_orderkey INT, o_custkey INT, FOREIGN KEY (o_custkey) REFERENCES c (c_custkey))")
+    e.execute("INSERT INTO t SELECT o_orderkey, o_custkey FROM millrace_source")
+    n = _refused(e, "INSERT INTO t SELECT o_orderkey, -5 FROM millrace_source", "INSERT INTO u SELECT o_orderkey, -5 FROM millrace_source")
+    return e.execute("SELECT * FROM t").withColumn("refused", F.lit(n))
+
+
+@query("D06_indexes", "SELECT 't' AS table_name, 'by_customer' AS index_name, 'o_custkey' AS key_columns, 'o_totalprice' AS included_columns, false AS \"unique\" UNION ALL SELECT 't', 'once', 'o_orderkey, o_custkey', '', true")
+def d06(spark, d):
+    e = Engine(spark)
+    e.register("millrace_source", _orders(spark, d))
+    e.execute("CREATE TABLE t AS SELECT * FROM millrace_source")
+    e.execute("CREATE INDEX by_customer ON t (o_custkey) INCLUDE (o_totalprice)")
+    e.execute("CREATE UNIQUE INDEX once ON t (o_orderkey, o_custkey)")
+    return e.execute("PRAGMA indexes").drop("index_type")
+
+
+@query("D13_explain_analyze", "SELECT 'rows: ' || count(*) AS plan FROM orders WHERE o_totalprice > 1000")
+def d13(spark, d):
+    e = Engine(spark)
+    e.register("millrace_source", _orders(spark, d))
+    return e.execute("EXPLAIN ANALYZE SELECT * FROM millrace_source WHERE o_totalprice > 1000").where("plan like 'rows: %'")
+
+
+@query("S11_memory_engine", "SELECT o_orderkey, CASE WHEN o_totalprice > 1000 THEN 'B' ELSE o_orderstatus END AS o_orderstatus, 1 AS refused FROM orders WHERE o_orderstatus <> 'P'")
+def s11(spark, d):
+    """Rows change as in other tables; ALTER is not for this engine."""
+    e = Engine(spark)
+    e.register("millrace_source", _orders(spark, d))
+    e.execute("CREATE TABLE t (o_orderkey INT PRIMARY KEY, o_orderstatus VARCHAR, o_totalprice DOUBLE) ENGINE = Memory")
+    e.execute("INSERT INTO t SELECT o_orderkey, o_orderstatus, o_totalprice FROM millrace_source")
+    e.execute("DELETE FROM t WHERE o_orderstatus = 'P'")
+    e.execute("UPDATE t SET o_orderstatus = 'B' WHERE o_totalprice > 1000")
+    return e.execute("SELECT o_orderkey, o_orderstatus FROM t").withColumn("refused", F.lit(_refused(e, "ALTER TABLE t ADD COLUMN x INT")))
+
+
+@query("S24_insert_batches", "SELECT n_nationkey AS k, n_name AS v, CAST(2 AS BIGINT) AS writes FROM nation")
+def s24(spark, d):
+    """A statement for each row, and one version of the table for all of them."""
+    e = Engine(spark, batch_rows=1024)
+    e.execute("CREATE TABLE t (k INT, v VARCHAR)")
+    for r in table(spark, d, "nation").collect():
+        e.execute("INSERT INTO t VALUES (?, ?)", [r.n_nationkey, r.n_name])
+    e.flush()
+    return e.execute("SELECT * FROM t").withColumn("writes", F.lit(len(e.catalog.versions("t"))).cast("long"))
+
+
+@query("S26_text_files", "SELECT n_nationkey AS k, n_name || chr(10) AS content FROM nation")
+def s26(spark, d):
+    path = fresh_path(spark, "texts")
+    table(spark, d, "nation").select("n_nationkey", "n_name").repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    files = readers.read_texts(spark, f"{path}/*/*.txt")
+    return files.select(F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("k"), "content")
+
+
+@query("S28_arrow", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def s28(spark, d):
+    """Out to an Arrow stream and in again; for results that fit the driver."""
+    return readers.from_ipc(spark, readers.to_ipc(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")))
+
+
+@query("S29_data_source", f"SELECT {_ORDERS} FROM orders WHERE o_orderstatus <> 'P'")
+def s29(spark, d):
+    """A versioned table as a Spark data source."""
+    c = _with_orders(spark, d)
+    c.delete("orders", "o_orderstatus = 'P'")
+    spark.dataSource.register(datasource.TableSource)
+    return spark.read.format("millrace").option("root", c.root).option("table", "orders").load()
+
+
+@query("S30_codecs", "SELECT c, o_orderkey, o_totalprice FROM orders, (SELECT unnest(['zstd', 'snappy', 'gzip', 'uncompressed']) AS c)")
+def s30(spark, d):
+    out = None
+    for codec in ("zstd", "snappy", "gzip", "uncompressed"):
+        path = fresh_path(spark, "codec")
+        _orders(spark, d).select("o_orderkey", "o_totalprice").write.option("compression", codec).parquet(path)
+        part = spark.read.parquet(path).withColumn("c", F.lit(codec))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("O07_cluster_key", "SELECT o_custkey, count(*) AS n, CAST(1 AS BIGINT) AS files FROM orders GROUP BY o_custkey")
+def o07(spark, d):
+    """Rows of one cluster key are in one file of a clustered table."""
+    path = fresh_path(spark, "clustered")
+    write_clustered(_orders(spark, d), path, ["o_custkey"], files=4)
+    t = spark.read.parquet(path).select("o_custkey", F.col("_metadata.file_path").alias("f"))
+    return t.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("f").alias("files"))
+
+
+@query(
+    "E02_arithmetic",
+    """SELECT event_id, user_id // 7 AS q, user_id // nullif(user_id % 5, 0) AS z, user_id % nullif(user_id % 3, 0) AS m, CASE WHEN value = 0 THEN 'NaN'::DOUBLE ELSE user_id / value END AS f, user_id * 3 - 1 AS s,
+    CASE WHEN user_id > 1 THEN NULL ELSE 9223372036854775806 + user_id END AS o, -(user_id // 2) AS neg FROM events WHERE user_id // 2 > 10""",
+)
+def e02(spark, d):
+    """Operators in SQL text by the types of their operands."""
+    e = Engine(spark)
+    e.register("millrace_events", table(spark, d, "events"))
+    return e.execute("SELECT event_id, user_id / 7 AS q, user_id / (user_id % 5) AS z, user_id % (user_id % 3) AS m, user_id / value AS f, user_id * 3 - 1 AS s, 9223372036854775806 + user_id AS o, -user_id / 2 AS neg FROM millrace_events WHERE user_id / 2 > 10")
+
+
+@query(
+    "E03_casts_and_types",
+    """SELECT event_type, CAST(sum(user_id) AS DOUBLE) AS s, CAST(sum(DISTINCT user_id) AS DOUBLE) AS d, 'int64' AS t, 'varchar' AS v, 'float64' AS f, max(TRY_CAST(event_type AS BIGINT)) AS nothing, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::DOUBLE AS k
+    FROM events GROUP BY event_type""",
+)
+def e03(spark, d):
+    e = Engine(spark)
+    e.register("millrace_events", table(spark, d, "events"))
+    return e.execute("SELECT event_type, SUM(user_id) AS s, SUM(DISTINCT user_id) AS d, TYPEOF(MAX(user_id)) AS t, TYPEOF(event_type) AS v, TYPEOF(SUM(user_id)) AS f, MAX(CAST(event_type AS INT)) AS nothing, SUM(CAST(JSON_EXTRACT(props, '$.k') AS INT)) AS k FROM millrace_events GROUP BY event_type")
+
+
+@query("E04_strptime", "SELECT event_id, date_trunc('second', ts) AS t FROM events")
+def e04(spark, d):
+    e = Engine(spark)
+    e.register("millrace_events", table(spark, d, "events"))
+    return e.execute("SELECT event_id, STRPTIME('%Y-%m-%dT%H:%M:%S', STRFTIME('%Y-%m-%dT%H:%M:%S', ts)) AS t FROM millrace_events")
+
+
 @query("D02_duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 def d02(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

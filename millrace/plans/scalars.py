@@ -125,8 +125,18 @@ _vector("FV2_cosine", f"list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_V0
 _vector("FV3_norm", "sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))", lambda: call("vector_norm", "embedding"))
 
 
-@query("V06_int8", "SELECT vec_id, true AS near FROM embeddings")
+@query(
+    "V06_int8",
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT *, (list_max(v) - list_min(v)) / 254.0 AS scale, (list_max(v) + list_min(v)) / 2.0 AS shift FROM e),
+    q AS (SELECT *, list_transform(v, lambda x: CAST(round((x - shift) / scale) AS BIGINT)) AS q FROM s)
+    SELECT vec_id, round(CAST(CAST(scale AS FLOAT) AS DOUBLE), 7) AS scale, round(CAST(CAST(shift AS FLOAT) AS DOUBLE), 7) AS shift, CAST(list_sum(q) AS BIGINT) AS total, CAST(list_min(q) AS BIGINT) AS lo, CAST(list_max(q) AS BIGINT) AS hi,
+    list_max(list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - (q[i] * scale + shift)))) <= scale * 0.5001 + 1e-6 AS near FROM q""",
+)
 def v06(spark, d):
     e = table(spark, d, "embeddings").withColumn("q", quantize_int8("embedding"))
     off = F.array_max(F.zip_with(C("embedding").cast("array<double>"), dequantize_int8("q"), lambda x, y: F.abs(x - y)))
-    return e.select("vec_id", (off <= C("q.scale") * 0.5001 + 1e-6).alias("near"))
+    q = F.transform(C("q.q"), lambda x: x.cast("long"))
+    return e.select(
+        "vec_id", F.round(C("q.scale").cast("double"), 7).alias("scale"), F.round(C("q.offset").cast("double"), 7).alias("shift"), F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_min(q).alias("lo"), F.array_max(q).alias("hi"),
+        (off <= C("q.scale") * 0.5001 + 1e-6).alias("near"),
+    )

@@ -28,7 +28,14 @@ def r02(spark, d):
     return logs.alive(table(spark, d, "events").select("event_id", "ts"), "ts", 10 * 86400, F.lit("2024-01-30").cast("timestamp_ntz"))
 
 
-@query("R03_rate_limit")
+@query(
+    "R03_rate_limit",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    r AS (SELECT user_id, k, event_id, true AS allowed, [t] AS recent FROM e WHERE k = 1
+      UNION ALL SELECT user_id, k, event_id, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, t) ELSE kept END
+      FROM (SELECT e.user_id, e.k, e.event_id, e.t, list_filter(r.recent, lambda x: x >= e.t - 21600000) AS kept FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+    SELECT event_id, user_id, allowed FROM r""",
+)
 def r03(spark, d):
     return logs.rate_limit(table(spark, d, "events"), "user_id", "ts", "event_id", 3, 6 * 3600).select("event_id", "user_id", "allowed")
 

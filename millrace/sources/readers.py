@@ -30,6 +30,22 @@ def to_arrow(df: DataFrame):
     return df.toArrow()
 
 
+def to_ipc(df: DataFrame) -> bytes:
+    """An Arrow IPC stream of a result that fits the driver."""
+    import pyarrow as pa
+
+    t, sink = df.toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def from_ipc(spark: SparkSession, data: bytes) -> DataFrame:
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.ipc.open_stream(data).read_all())
+
+
 _HEADER = re.compile(r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$", re.M)
 
 
@@ -42,35 +58,43 @@ def markdown_sections(text: str) -> list[tuple[str, str]]:
 
 
 def windows_of(text: str, size: int, overlap: int) -> list[str]:
-    """Pieces of so many characters, each of which begins overlap characters before the end of the one before."""
-    step = size - overlap
-    return [text[a : a + size] for a in range(0, max(len(text) - overlap, 1), step)] if text else []
+    """Pieces of at most so many characters that end after their last space, if they have one and are not the last; each begins overlap characters before the end of the one
+    before (one character after its beginning at least). Blank pieces are left out."""
+    out, start = [], 0
+    while start < len(text):
+        end = min(start + size, len(text))
+        if end < len(text) and (space := text.rfind(" ", start, end)) >= 0:
+            end = space + 1
+        if text[start:end].strip():
+            out.append(text[start:end])
+        if end >= len(text):
+            break
+        start = max(end - overlap, start + 1)
+    return out
 
 
 def chunk_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 500, overlap: int = 50, markdown: bool = False, embed: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
     """doc_id, chunk_no (from 0), title, content and, with embed, embedding, of every chunk.
 
-    Chunks are Markdown sections, cut further where they are longer than size, or simply pieces of size characters with an overlap. Plain
-    pieces are built-in expressions; sections need Python. embed maps a pandas Series of contents to one of float lists, batch by batch.
+    Chunks are Markdown sections, cut further where they are longer than size, or simply pieces of a text (see windows_of). Each piece's beginning depends on
+    the one before, so they are cut in Python, in Arrow batches. embed maps a pandas Series of contents to one of float lists, batch by batch.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
     d = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    if not markdown:
-        n = F.greatest(F.ceil((F.length("text") - overlap) / (size - overlap)), F.lit(1)).cast("int")
-        d = d.where(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
-        out = d.select("doc_id", "chunk_no", F.lit("").alias("title"), F.substring("text", F.col("chunk_no") * (size - overlap) + 1, F.lit(size)).alias("content"))
-    else:
-
-        def run(batches):
-            for b in batches:
-                rows = []
-                for i, t in zip(b.doc_id, b.text, strict=True):
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, t in zip(b.doc_id, b.text, strict=True):
+                if markdown:
                     pieces = [(title, p) for title, body in markdown_sections(t or "") for p in (windows_of(body, size, overlap) or [""])]
-                    rows += [(i, k, title, p) for k, (title, p) in enumerate(pieces)]
-                yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "title", "content"])
+                else:
+                    pieces = [("", p) for p in windows_of(t or "", size, overlap)]
+                rows += [(i, k, title, p) for k, (title, p) in enumerate(pieces)]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "title", "content"])
 
-        out = d.mapInPandas(run, f"doc_id {df.schema[id_col].dataType.simpleString()}, chunk_no int, title string, content string")
+    out = d.mapInPandas(run, f"doc_id {df.schema[id_col].dataType.simpleString()}, chunk_no int, title string, content string")
     if embed is not None:
         out = out.withColumn("embedding", F.pandas_udf(embed, "array<float>")("content"))
     return out

@@ -54,11 +54,11 @@ def recent_counts(df: DataFrame, key: str, ts_col: str, seconds: int) -> DataFra
 
 
 def allowed(times_ms: list[int], limit: int, window_ms: int, recent: deque | None = None) -> list[bool]:
-    """Which of a key's events, in order of time, a sliding-window limiter lets through; denied ones do not count."""
+    """Which of a key's events, in order of time, a sliding-window limiter lets through; denied ones do not count, and a stamp of exactly a window ago still does."""
     recent = deque() if recent is None else recent
     out = []
     for t in times_ms:
-        while recent and recent[0] <= t - window_ms:
+        while recent and recent[0] < t - window_ms:
             recent.popleft()
         out.append(len(recent) < limit)
         if out[-1]:

@@ -63,7 +63,7 @@ def test_rate_limit(spark):
         recent = deque()
         for i, kk, t in rows:
             if kk == k:
-                while recent and (t - recent[0]).total_seconds() >= 60:
+                while recent and (t - recent[0]).total_seconds() > 60:
                     recent.popleft()
                 assert got[i] == (len(recent) < 2)
                 if got[i]:
@@ -97,3 +97,104 @@ def test_clustered_write(spark, tmp_path):
 def test_filters_reach_the_scan(spark, sf):
     plan = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_quantity < 10").select("l_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(l_quantity,10.0)" in plan and "l_comment" not in plan
+
+
+def test_limiter_keeps_a_stamp_of_exactly_a_window_ago():
+    assert logs.allowed([0, 60, 61], 1, 60) == [True, False, True]
+
+
+def test_windows_end_after_a_space():
+    assert readers.windows_of("aa bb cc dd", 7, 2) == ["aa bb ", "b cc dd"] and readers.windows_of("a b", 10, 2) == ["a b"] and readers.windows_of("      x", 3, 1)[-1].endswith("x")
+
+
+def test_edit_similarity_follows_the_query(spark):
+    d = spark.createDataFrame([(1, "the quick fox runs"), (2, "the slow"), (3, "fox " * 30), (4, "quick the fox")], "doc_id int, text string")
+    got = {r.doc_id: r.similarity for r in search.fuzzy_edit(d, "the quick fox", None).collect()}
+    want = {i: search.edit_similarity("the quick fox".split(), t.split()) for i, t in ((1, "the quick fox runs"), (2, "the slow"), (3, "fox " * 30), (4, "quick the fox"))}
+    assert got == pytest.approx({i: s for i, s in want.items() if s is not None}) and set(got) == {1, 2, 4}
+
+
+def test_json_contains_values_as_wholes():
+    from millrace.functions.json import contains_value
+
+    assert [contains_value('{"a": [1, 2, {"b": 3}]}', t) for t in ("3", "[1, 3]", '{"b": 3}', '{"a": 1}', "1.0")] == [True, None or True, True, False, False] and contains_value("[1]", "1", "$.x") is None
+
+
+def test_segments_and_merges():
+    from tokenizers import Tokenizer
+    from tokenizers.models import BPE
+
+    from millrace.operators.tokenizer import UNKNOWN, Bpe
+
+    r = random.Random(4)
+    merges, tokens = [], list("abcd")
+    while len(merges) < 25:
+        a, b = r.choice(tokens), r.choice(tokens)
+        if a + b not in tokens:
+            merges.append((a, b))
+            tokens.append(a + b)
+    vocabulary = {t: i for i, t in enumerate(tokens)}
+    other, own = Tokenizer(BPE(vocabulary, merges)), Bpe(vocabulary, merges)
+    for _ in range(500):
+        s = "".join(r.choice("abcd") for _ in range(r.randint(1, 30)))
+        assert own.pieces(s) == other.encode(s).tokens, s
+    assert own.encode(["a?", "b"]) == [vocabulary["a"], UNKNOWN, vocabulary["b"]]
+
+
+def test_segments_of_classes(spark):
+    from millrace.operators import tokenizer
+
+    text = "中文abc éß 12³!? →€\n￥x"
+    d = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    got = d.select(F.transform(tokenizer.segments("text"), lambda s: F.struct(s.alias("s"), tokenizer.class_of(s).alias("c"))).alias("x")).collect()
+    assert [tuple(x) for x in got[0].x] == [("中文", "cjk"), ("abc", "letter"), (" ", "space"), ("éß", "letter"), (" ", "space"), ("12", "digit"), ("³", "symbol"), ("!?", "punct"), (" ", "space"), ("→€", "symbol"), ("\n", "space"), ("￥", "symbol"), ("x", "letter")]
+    assert "".join(x.s for x in got[0].x) == text and got[1].x == got[2].x == []
+
+
+def test_inverted_file(spark, tmp_path):
+    """Recall of the default probe against brute force, exactness with all cells, deletes, additions and rows without a fitting vector."""
+    from millrace.operators.vector_index import VectorIndex
+
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    for metric in ("l2", "cosine", "ip"):
+        index = VectorIndex.build(e, f"file://{tmp_path}/{metric}", metric=metric)
+        exact = {(r.query_id, r.row_id) for r in search.vector_search_table(e, queries, 10, metric=metric).collect()}
+        got = {(r.query_id, r.row_id) for r in index.search_many(queries, 10).collect()}
+        assert len(exact & got) >= 0.9 * len(exact), (metric, len(exact & got), len(exact))
+        assert {(r.query_id, r.row_id) for r in index.search_many(queries, 10, probe=len(index.centres)).collect()} == exact
+    q = [0.5] * 64
+    first = index.search(q, 1, probe=10**6).first().row_id
+    index.remove(spark.createDataFrame([(first,)], "id bigint"))
+    index.add(spark.createDataFrame([(10**6, [9.0] * 64), (10**6 + 1, None), (10**6 + 2, [1.0])], "vec_id bigint, embedding array<float>"))
+    top = [r.row_id for r in index.search(q, 5, probe=10**6).collect()]
+    assert first not in top and top[0] == 10**6 and index.trace(q, 2).first().top[0] == 10**6
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    r = random.Random(5)
+    v = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(50)], "vec_id int, embedding array<float>")
+    q = v.where("vec_id < 17").select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("vector"))
+    whole = sorted(map(tuple, search.vector_search_table(v, q, 3).collect()))
+    monkeypatch.setattr(search, "QUERY_PASS", 5)
+    assert sorted(map(tuple, search.vector_search_table(v, q, 3).collect())) == whole and len(whole) == 51
+    assert search.vector_search_table(v, q.limit(0), 3).count() == 0
+
+
+def test_text_index_over_changes(spark, tmp_path):
+    from millrace.operators.tables import Catalog
+    from millrace.operators.text_index import TextIndex
+
+    c = Catalog(spark, f"file://{tmp_path}/db")
+    index = TextIndex(c, "docs")
+    d = spark.createDataFrame([(1, "the quick fox"), (2, "the lazy dog the end"), (3, None)], "doc_id bigint, text string")
+    index.add(d)
+    same = lambda df: sorted((r.doc_id, round(r.score, 9)) for r in df.collect())
+    assert same(index.bm25("quick the", None)) == same(search.bm25(d, "quick the", None))
+    index.remove(d.where("doc_id = 2").select("doc_id"))
+    index.add(spark.createDataFrame([(2, "a quick end")], "doc_id bigint, text string"))
+    now = spark.createDataFrame([(1, "the quick fox"), (2, "a quick end"), (3, None)], "doc_id bigint, text string")
+    for _ in range(2):
+        assert same(index.bm25("quick the end", None)) == same(search.bm25(now, "quick the end", None))
+        assert [r.doc_id for r in index.search("quick end", "and").collect()] == [2] and index.bm25("nothing").count() == 0
+        index.compact()

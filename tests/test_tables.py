@@ -137,7 +137,7 @@ def test_views_pragma_explain(eng):
     eng.execute("INSERT INTO t VALUES (1, '[1, 0]', '{\"k\": 1}'), (2, '[0, 1]', NULL)")
     eng.execute("CREATE VECTOR INDEX ix ON t (v) WITH (metric = cosine)")
     assert [r[0] for r in eng.execute("SELECT row_id FROM vector_search(t, ix, '[0.1, 1]', 1)").collect()] == [2]
-    assert eng.execute("PRAGMA index_list(t)").first()["kind"] == "vector"
+    assert eng.execute("PRAGMA index_list(t)").first()["index_type"] == "vector"
     assert rows(eng.execute("PRAGMA table_info(t)").select("name", "type"))[0] == ("id", "bigint")
     assert rows(eng.execute("SELECT JSON_SET(j, '$.z', '2') AS a, JSON_OBJECT('id', id, 'x', 'y') AS b FROM t WHERE id = 1")) == [('{"k":1,"z":2}', '{"id":1,"x":"y"}')]
     eng.execute("CREATE MATERIALIZED VIEW mv AS SELECT count(*) AS n FROM t")
@@ -147,3 +147,95 @@ def test_views_pragma_explain(eng):
     assert eng.execute("SELECT n FROM mv").first()[0] == 1
     plan = [r[0] for r in eng.execute("EXPLAIN ANALYZE SELECT * FROM t").collect()]
     assert "rows: 1" in plan and eng.execute("ANALYZE t").count() == 3
+
+
+def test_upsert_keeps_constraints_and_reports(eng):
+    eng.execute("CREATE TABLE t (id INT PRIMARY KEY, email VARCHAR UNIQUE, n INT NOT NULL)")
+    eng.execute("INSERT INTO t VALUES (1, 'a', 1), (2, 'b', 2)")
+    for bad in (
+        "INSERT INTO t VALUES (3, 'a', 2) ON CONFLICT (id) DO UPDATE SET n = excluded.n", "INSERT INTO t VALUES (2, 'a', 2) ON CONFLICT (id) DO UPDATE SET email = excluded.email",
+        "INSERT INTO t VALUES (2, 'x', 2) ON CONFLICT (id) DO UPDATE SET n = NULL", "INSERT INTO t VALUES (3, 'c', NULL) ON CONFLICT (id) DO NOTHING", "INSERT INTO t VALUES (3, 'b', 1) ON CONFLICT (id) DO NOTHING",
+    ):
+        with pytest.raises(TableError):
+            eng.execute(bad)
+    assert rows(eng.execute("SELECT * FROM t")) == [(1, "a", 1), (2, "b", 2)]
+    assert rows(eng.execute("INSERT INTO t VALUES (2, 'b', 5), (3, 'c', 3) ON CONFLICT (id) DO UPDATE SET n = n + excluded.n RETURNING id, n")) == [(2, 7), (3, 3)]
+    assert eng.execute("REPLACE INTO t VALUES (1, 'z', 9)").first()[0] == 1 and eng.execute("INSERT OR IGNORE INTO t VALUES (1, 'q', 0), (4, 'd', 4)").first()[0] == 1
+    assert rows(eng.execute("SELECT * FROM t")) == [(1, "z", 9), (2, "b", 7), (3, "c", 3), (4, "d", 4)]
+
+
+def test_update_with_sub_select(eng):
+    eng.execute("CREATE TABLE t (id INT, n INT)")
+    eng.execute("CREATE TABLE u (k INT, v INT)")
+    eng.execute("INSERT INTO t VALUES (1, 0), (2, 0)")
+    eng.execute("INSERT INTO u VALUES (1, 5), (2, 8)")
+    assert eng.execute("UPDATE t SET n = (SELECT max(v) FROM u WHERE k > 1) WHERE id = 2").first()[0] == 1
+    assert rows(eng.execute("SELECT * FROM t")) == [(1, 0), (2, 8)]
+
+
+def test_arithmetic_by_type(eng):
+    one = lambda x: eng.execute(f"SELECT {x} AS x").first()[0]
+    assert [one(x) for x in ("7 / 2", "-7 / 2", "1 / 0", "1 % 0", "9223372036854775807 + 1", "9223372036854775807 * 2", "-9223372036854775807 - 9", "2147483647 + 1")] == [3, -3, None, None, None, None, None, 2147483648]
+    assert [one(x) for x in ("7 / 2.0", "7.5 - 2", "1 + 2 * 3 - 8 / 3", "(1 + 2) * 3", "CASE WHEN 5 / 2 = 2 THEN 9 / 2 ELSE 0 END / 2", "2 - -3", "10 - 3 - 2", "100 / 7 / 2")] == [3.5, 5.5, 5, 9, 2, 5, 5, 7]
+    assert [one(x) for x in ("CAST('abc' AS INT)", "CAST('12' AS INT) + 1", "TYPEOF(1 + 1)", "TYPEOF('a')", "TYPEOF(NULL)", "TYPEOF(1.5)")] == [None, 13, "int64", "varchar", "null", "float64"]
+    assert str(one("STRPTIME('%Y-%m-%dT%H:%M:%S', '2024-05-06T07:08:09')")) == "2024-05-06 07:08:09" and one("1.0 / 0") != one("1.0 / 0")
+    eng.execute("CREATE TABLE t (a INT, b INT, c DOUBLE)")
+    eng.execute("INSERT INTO t VALUES (7, 2, 1.5), (9, 0, 2.5), (NULL, 1, 3.5)")
+    assert rows(eng.execute("SELECT a / b AS q, a / c AS f, a + b AS s FROM t WHERE a / 2 > 2 ORDER BY a")) == [(3, 7 / 1.5, 9), (None, 9 / 2.5, 9)]
+    assert rows(eng.execute("SELECT a / 4 AS g, SUM(b) AS s, COUNT(*) / 2 AS h FROM t GROUP BY a / 4")) == [(1, 2.0, 0), (2, 0.0, 0), (None, 1.0, 0)]
+    assert rows(eng.execute("WITH x AS (SELECT a / 2 AS h FROM t) SELECT h / 2 AS k FROM x WHERE h IN (SELECT b + 1 FROM t)")) == [(1,)]
+    eng.execute("UPDATE t SET a = a / b WHERE a / 2 = 3")
+    assert rows(eng.execute("SELECT a FROM t")) == [(3,), (9,), (None,)]
+    assert dict(eng.execute("SELECT SUM(a) AS s, SUM(DISTINCT b) AS d FROM t").dtypes) == {"s": "double", "d": "double"}
+
+
+def test_commit_of_several_tables_is_one(eng):
+    for t in ("a", "b"):
+        eng.execute(f"CREATE TABLE {t} (id INT)")
+    c = eng.catalog
+    create, seen = c.fs.create, []
+
+    def broken(path, text):
+        if "_transactions" in path:
+            seen.append(path)
+            raise OSError("the driver died")
+        return create(path, text)
+
+    eng.execute("BEGIN")
+    eng.execute("INSERT INTO a VALUES (1)")
+    eng.execute("INSERT INTO b VALUES (1)")
+    c.fs.create = broken
+    with pytest.raises(TableError):
+        eng.execute("COMMIT")
+    c.fs.create = create
+    other = Engine(eng.spark, c.root)
+    assert seen and rows(other.execute("SELECT * FROM a")) == rows(other.execute("SELECT * FROM b")) == []
+    other.execute("INSERT INTO a VALUES (2)")
+    assert rows(other.execute("SELECT * FROM a")) == [(2,)] and rows(other.execute("SELECT * FROM b")) == []
+    other.execute("BEGIN")
+    other.execute("INSERT INTO a VALUES (3)")
+    other.execute("INSERT INTO b VALUES (3)")
+    other.execute("COMMIT")
+    again = Engine(eng.spark, c.root)
+    assert rows(again.execute("SELECT * FROM a")) == [(2,), (3,)] and rows(again.execute("SELECT * FROM b")) == [(3,)]
+
+
+def test_batches_vacuum_and_foreign_keys(eng):
+    eng = Engine(eng.spark, eng.catalog.root, batch_rows=100)
+    eng.execute("CREATE TABLE t (id INT, v VARCHAR)")
+    before = len(eng.catalog.versions("t"))
+    for i in range(30):
+        assert eng.execute(f"INSERT INTO t VALUES ({i}, 'x')").first()[0] == 1
+    assert len(eng.catalog.versions("t")) == before and eng.execute("SELECT count(*) AS n FROM t").first()[0] == 30 and len(eng.catalog.versions("t")) == before + 1
+    eng.execute("DELETE FROM t WHERE id < 10")
+    eng.execute("UPDATE t SET v = 'y'")
+    assert eng.catalog.vacuum("t") >= 2 and eng.execute("SELECT * FROM t").count() == 20 and eng.catalog.vacuum("t") == 0
+    eng.execute("CREATE TABLE p (id INT PRIMARY KEY)")
+    eng.execute("CREATE TABLE c (pid INT, FOREIGN KEY (pid) REFERENCES p (id) ENFORCED)")
+    eng.execute("CREATE TABLE d (pid INT, FOREIGN KEY (pid) REFERENCES p (id))")
+    eng.execute("INSERT INTO p VALUES (1)")
+    eng.execute("INSERT INTO c VALUES (1), (NULL)")
+    eng.execute("INSERT INTO d VALUES (2)")
+    with pytest.raises(TableError):
+        eng.execute("INSERT INTO c VALUES (2)")
+    assert eng.execute("PRAGMA information_schema_tables").count() == 4
