@@ -48,16 +48,20 @@ def plan(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", u
     """(responses with url and html, revisits), each with page_id, payload_digest, payload_bytes.
 
     Equal payloads meet by digest in narrow aggregations (counts and minima, combined before the shuffle), so that a payload which a
-    third of the pages share is no hot task. The html is shuffled once, to meet the responses' keys; revisits need none.
+    third of the pages share is no hot task. The html is shuffled once, to meet the responses' keys; revisits need none, but have their own url.
     """
     html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
     url = F.col(f"`{url_col}`").cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     base = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    groups = written(base.groupBy("page_id", "payload_digest", "payload_bytes").agg(F.count(F.lit(1)).alias("rows")), "pages")
+    same = ["page_id", "payload_digest", "payload_bytes"]
+    by_url = written(base.groupBy(*same, "url").agg(F.count(F.lit(1)).alias("rows")), "pages")
+    groups = by_url.groupBy(*same).agg(F.sum("rows").alias("rows"), F.min("url").alias("head_url"))
     first = groups.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.sum("rows").alias("total")).where("total > 1").select("payload_digest", "first")
     g = written(groups.join(first, "payload_digest", "left").withColumn("first", F.when((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull(), F.col("first"))), "plan")
-    times = F.col("rows") - F.when(F.col("page_id") == F.col("first"), 1).otherwise(0)
-    revisits = g.where(F.col("first").isNotNull() & (times > 0)).select("page_id", "payload_digest", "payload_bytes", F.col("first").alias("refers_to"), F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("time")).drop("time")
+    later = g.where(F.col("first").isNotNull()).select(*same, "first", "head_url")
+    is_head = (F.col("page_id") == F.col("first")) & F.col("url").eqNullSafe(F.col("head_url"))
+    times = F.col("rows") - F.when(is_head, 1).otherwise(0)
+    revisits = by_url.join(later, same).where(times > 0).select("page_id", "url", "payload_digest", "payload_bytes", F.col("first").alias("refers_to"), F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("time")).drop("time")
 
     def of(keys: DataFrame) -> DataFrame:
         k = keys.select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"))
@@ -89,8 +93,8 @@ def records(responses: DataFrame, revisits: DataFrame, *, least: int = LEAST_REV
     more = _header(F.lit("continuation"), F.concat("rid", F.lit(":"), F.col("at") + 1), F.concat(_line("WARC-Target-URI", uri), _line("WARC-Segment-Origin-ID", F.concat(F.lit("<"), "rid", F.lit(">"))), number, last), F.col("part"))
     again = revisits.withColumn("rid", F.concat(F.lit("urn:uuid:"), F.expr("uuid()")))
     fields = F.concat(
-        F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF + "WARC-Target-URI: urn:none" + CRLF),
-        page, _line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), "refers_to", F.lit(":"), "payload_digest", F.lit(">"))), _line("X-Refers-To-Page", F.col("refers_to").cast("string")),
+        F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF),
+        _line("WARC-Target-URI", uri), page, _line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), "refers_to", F.lit(":"), "payload_digest", F.lit(">"))), _line("X-Refers-To-Page", F.col("refers_to").cast("string")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")), _line("X-Payload-Length", F.col("payload_bytes").cast("string")),
     )
     return r.select(F.when(F.col("at") == 0, head).otherwise(more).alias("value")).unionAll(again.select(_header(F.lit("revisit"), F.col("rid"), fields, F.lit("")).alias("value")))
@@ -160,7 +164,7 @@ def _bare(value: str | None) -> str | None:
 
 
 def read_archives(spark, path: str, *, payloads: bool = True) -> DataFrame:
-    """page_id, record_type, refers_to, payload_bytes, payload_digest, complete and (if payloads) payload of every record.
+    """page_id, url, record_type, refers_to, payload_bytes, payload_digest, complete and (if payloads) payload of every record.
 
     Files are read whole by Spark's binary reader, and records found by their lengths. Whole records are decoded where they are read;
     segments meet by their origin's identifier, are ordered by number and checked against the total length. What lacks a
@@ -168,7 +172,7 @@ def read_archives(spark, path: str, *, payloads: bool = True) -> DataFrame:
     digest that its record states. Segments of one record are all that one task gathers.
     """
     long, text, blob = T.LongType(), T.StringType(), T.BinaryType()
-    raw = T.StructType([T.StructField(n, k) for n, k in (("key", text), ("page_id", long), ("record_type", text), ("refers_to", long), ("stated", text), ("bytes", long), ("seg", long), ("total", long), ("block", blob), ("digest", text))])
+    raw = T.StructType([T.StructField(n, k) for n, k in (("key", text), ("page_id", long), ("url", text), ("record_type", text), ("refers_to", long), ("stated", text), ("bytes", long), ("seg", long), ("total", long), ("block", blob), ("digest", text))])
 
     def make():
         import gzip
@@ -188,7 +192,8 @@ def read_archives(spark, path: str, *, payloads: bool = True) -> DataFrame:
                     if kind == "response" and seg is None:
                         block = payload_of(block)
                         digest, size = hashlib.sha256(block).hexdigest(), len(block)
-                    rows.append((key, page, kind, refers, stated, size, int(seg) if seg else None, total, block if seg or payloads else None, digest))
+                    url = f.get("warc-target-uri")
+                    rows.append((key, page, None if url == "urn:none" else url, kind, refers, stated, size, int(seg) if seg else None, total, block if seg or payloads else None, digest))
             return list(zip(*rows, strict=True)) if rows else [[]] * len(raw)
 
         return run
@@ -197,24 +202,24 @@ def read_archives(spark, path: str, *, payloads: bool = True) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("content")
     got = _one_by_one(files, make, raw)
     got = written(got, "records")
-    whole = got.where("seg is null").select("page_id", "record_type", "refers_to", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), (F.col("digest") == F.col("stated")).alias("complete"), F.col("block").alias("payload"))
+    whole = got.where("seg is null").select("page_id", "url", "record_type", "refers_to", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), (F.col("digest") == F.col("stated")).alias("complete"), F.col("block").alias("payload"))
     parts = got.where("seg is not null").groupBy("key").agg(
-        F.max("page_id").alias("page_id"), F.max("stated").alias("stated"), F.max("total").alias("total"), F.collect_list(F.struct("seg", "block")).alias("parts"),
+        F.max("page_id").alias("page_id"), F.max("url").alias("url"), F.max("stated").alias("stated"), F.max("total").alias("total"), F.collect_list(F.struct("seg", "block")).alias("parts"),
     )
 
     def join():
-        def run(pages, stated, totals, lists):
+        def run(pages, urls, stated, totals, lists):
             out = []
-            for page, s, total, segs in zip(pages, stated, totals, lists, strict=True):
+            for page, url, s, total, segs in zip(pages, urls, stated, totals, lists, strict=True):
                 block = reassemble([(x["seg"], x["block"]) for x in segs], total)
                 p = payload_of(block) if block is not None else None
                 d = hashlib.sha256(p).hexdigest() if p is not None else s
-                out.append((page, "response", None, len(p) if p is not None else None, d, p is not None and d == s, p if payloads else None))
+                out.append((page, url, "response", None, len(p) if p is not None else None, d, p is not None and d == s, p if payloads else None))
             return list(zip(*out, strict=True))
 
         return run
 
-    segmented = flat_map_batches(parts, join, T.StructType([*whole.schema.fields]), ["page_id", "stated", "total", "parts"])
+    segmented = flat_map_batches(parts, join, T.StructType([*whole.schema.fields]), ["page_id", "url", "stated", "total", "parts"])
     out = whole.unionAll(segmented)
     return out if payloads else out.drop("payload")
 

@@ -571,6 +571,7 @@ def test_warc_round_trip_payloads(spark):
     assert len(got) == len(rows) and all(r.complete for r in got)
     want = Counter((i, hashlib.sha256((h or "").encode()).hexdigest(), len((h or "").encode())) for i, _, h in rows)
     assert Counter((r.page_id, r.payload_digest, r.payload_bytes) for r in got) == want
+    assert Counter(r.url for r in got) == Counter(u.translate({10: None, 13: None}) if u else None for _, u, _ in rows)
     for r in got:
         if r.record_type == "revisit":
             assert r.refers_to == 1 and r.page_id == 2
@@ -586,6 +587,15 @@ def test_warc_segments_and_chunks():
     assert warc.reassemble([(1, b"a"), (3, b"c")], 2) is None and warc.reassemble([(1, b"a"), (2, b"b")], 3) is None and warc.reassemble([(1, b"a")], None) is None
 
 
+def test_warc_clashing_columns(spark):
+    """Other columns, whatever their names, are ignored; ids of other types are read as numbers."""
+    d = spark.createDataFrame([(1, "a" * 200, "x"), (2, "a" * 200, "y"), (None, None, None)], "page_id int, html string, rows string")
+    for c in ("payload_digest", "payload_bytes", "first", "url", "d", "p"):
+        d = d.withColumn(c, F.lit("clash"))
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.url) for r in warc.round_trip(d).collect()), key=str)
+    assert got == [(1, "response", None, "clash"), (2, "revisit", 1, "clash"), (None, "response", None, "clash")]
+
+
 def test_warc_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
