@@ -57,6 +57,29 @@ def op10_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 counts before any cutoff."""
+    return op5_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 finds by the base patterns."""
+    return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def base_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 finds by the base phrases."""
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def verbatim_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of op3 that hold a benchmark item word for word."""
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    found = op3_decontaminate(spark, sf_dir).select("doc_id", "item_id").distinct()
+    both = found.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("item")), "item_id")
+    return both.where(F.contains("text", "item")).select("doc_id", "item_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_token_counts, op3_decontaminate, op4_language_id, op5_quality_rules, op6_near_duplicates, op7_secret_scan, op8_warc_round_trip, op9_license_scan, op10_quality_score)
+    own = (op1_mix_sources, op2_token_counts, op3_decontaminate, op4_language_id, op5_quality_rules, op6_near_duplicates, op7_secret_scan, op8_warc_round_trip, op9_license_scan, op10_quality_score, base_quality_rules, base_secret_scan, base_license_scan, verbatim_benchmark)
     return {f.__name__: f for f in own}
 
 
@@ -112,5 +135,46 @@ SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS componen
 """
 
 
+_RULES = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, w, t FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM d WHERE len(w) > 3),
+c AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM c, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id)
+SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed
+FROM l LEFT JOIN r ON l.doc_id = r.doc_id
+"""
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGN = f"(?:{'|'.join(_either_case(w) for w in ('password', 'passwd', 'secret', 'token', 'api_?key'))})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+_SECRETS = f"""
+WITH k AS (SELECT * FROM (VALUES (0, 'assign', '{_ASSIGN}', 12), (1, 'access', '(AKIA[A-Z0-9]+)', 18), (2, 'hex', '([0-9a-f]+)', 16)) AS k(k, kind, p, least)),
+m AS (SELECT doc_id, 0 AS k, regexp_extract_all(coalesce(text, ''), '{_ASSIGN}') AS m, regexp_extract_all(coalesce(text, ''), '{_ASSIGN}', 1) AS v, string_split_regex(coalesce(text, ''), '{_ASSIGN}') AS s FROM documents
+  UNION ALL SELECT doc_id, 1, regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), string_split_regex(coalesce(text, ''), 'AKIA[A-Z0-9]+') FROM documents
+  UNION ALL SELECT doc_id, 2, regexp_extract_all(coalesce(text, ''), '[0-9a-f]{{16,}}'), regexp_extract_all(coalesce(text, ''), '[0-9a-f]{{16,}}'), string_split_regex(coalesce(text, ''), '[0-9a-f]{{16,}}') FROM documents),
+f AS (SELECT doc_id, k, i, length(v[i]) AS n, length(m[i]) AS len, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+g AS (SELECT doc_id, k.k, kind, CAST(a AS BIGINT) AS a, CAST(a AS BIGINT) + len AS b FROM f JOIN k USING (k) WHERE n >= least),
+h AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS told FROM g GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(told, '')) AS base_sha256 FROM documents LEFT JOIN h USING (doc_id)
+"""
+
+_LICENSES = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+p AS (SELECT doc_id, i - 1 AS pos, CASE WHEN w[i] = 'mit' AND w[i + 1] = 'license' THEN 'mit' WHEN w[i] = 'apache' AND w[i + 1] = 'license' THEN 'apache' WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl' END AS label FROM i),
+a AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM p WHERE label IS NOT NULL GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN a ON w.doc_id = a.doc_id
+"""
+
+_VERBATIM = "SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _SIZES, "op6_near_duplicates": _NEAR, "op8_warc_round_trip": _WARC}
+    return {"base_quality_rules": _RULES, "base_secret_scan": _SECRETS, "base_license_scan": _LICENSES, "verbatim_benchmark": _VERBATIM, "op1_mix_sources": _SIZES, "op6_near_duplicates": _NEAR, "op8_warc_round_trip": _WARC}

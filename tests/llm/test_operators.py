@@ -136,13 +136,23 @@ def test_automaton_is_greedy():
             assert auto.count(s) == greedy(pieces, s), (pieces, s)
 
 
-def test_tokens_of_documents(docs, texts):
-    pieces = tokens.load_pieces()
-    for r in tokens.count_tokens(docs, keep=["doc_id"]).limit(25).collect():
+def test_tokens_of_documents(spark, sf, texts):
+    """Every document of the query, whole, against greedy cutting."""
+    known = {p: None for p in tokens.load_pieces()}
+    longest, memo = max(map(len, known)), {}
+
+    def cut(w):
+        s, n, at = tokens.START + w, 0, 0
+        while at < len(s):
+            end = next((e for e in range(min(len(s), at + longest), at, -1) if s[at:e] in known), None)
+            n, at = (n + 1, end) if end else (n + len(s[at].encode()), at + 1)
+        return n
+
+    got = queries.op2_token_counts(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
         own = words(texts[r.doc_id])
-        assert r.n_words == len(own)
-        if len(own) < 400:
-            assert r.n_tokens == sum(greedy(pieces, tokens.START + w) for w in own)
+        assert (r.n_words, r.n_tokens) == (len(own), sum(memo[w] if w in memo else memo.setdefault(w, cut(w)) for w in own)), r.doc_id
 
 
 def test_tokens_edges(odd, empty):
@@ -250,6 +260,41 @@ def test_language_accuracy(spark, sf):
     assert sum(r.lang_pred == true[r.doc_id] for r in held) / len(held) > 0.95
 
 
+def test_language_brute_force(spark, sf, texts):
+    """The whole query against sums over all segmentations in plain Python, under the fitted model; and rows that are held out teach it nothing."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    train = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    langs, p, pieces = langid.fit(train)
+    number = {x: k + 1 for k, x in enumerate(pieces) if 0 < len(x) <= langid.LONGEST}
+    memo = {}
+
+    def logs(word):
+        if word not in memo:
+            s = tokens.START + word
+            ways = [np.ones(len(langs))] + [np.zeros(len(langs)) for _ in s]
+            for e in range(1, len(s) + 1):
+                for b in range(max(0, e - langid.LONGEST), e):
+                    if s[b:e] in number or e == b + 1:
+                        ways[e] = ways[e] + ways[b] * p[number.get(s[b:e], 0)]
+            memo[word] = np.log(np.maximum(ways[-1], 1e-300))
+        return memo[word]
+
+    got = {r.doc_id: r for r in queries.op4_language_id(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        own = [u for u in map(langid.unit, langid.LETTERS.findall((t or "").lower())) if u]
+        if not own:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        s = sum(logs(w) for w in own)
+        e = np.exp(s - s.max())
+        best = np.sort(e)[::-1]
+        assert got[i].score == pytest.approx(1 / e.sum(), abs=1e-3) and (got[i].lang_pred == langs[int(s.argmax())] or best[1] > 0.999)
+    other = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit("xx")).otherwise(F.col("lang")))
+    again = langid.fit(other.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    assert again[0] == langs and np.array_equal(again[1], p)
+
+
 def test_language_edges(spark, odd, empty):
     model = langid.fit(odd)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(odd, model).collect()}
@@ -706,6 +751,29 @@ def test_quality_held_out(spark):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
+def test_quality_brute_force(spark, sf, texts):
+    """The whole query against sizes compressed here, under a calibration that is fitted here; and labels that are held out teach it nothing."""
+    import zstandard as zs
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality in (0, 1)")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good, bad, (bias, slope) = quality_clf.fit(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    pair = [zs.ZstdCompressor(level=quality_clf.LEVEL, dict_data=zs.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (good, bad)]
+
+    def difference(t):
+        b = (t or "").encode()
+        g, x = (sum(len(c.compress(b[a : a + quality_clf.PART])) for a in range(0, max(1, len(b)), quality_clf.PART)) for c in pair)
+        return (x - g) / (x + g)
+
+    got = {r.doc_id: r for r in queries.op10_quality_score(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(bias + slope * quality_clf.SCALE * difference(t)))), abs=1e-9), i
+    assert slope > 0  # the better a text fits the good dictionary, the likelier it is good
+    wrong = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert quality_clf.fit(docs, wrong.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)) == (good, bad, [bias, slope])
+
+
 def test_quality_learns_from_whole_texts(spark):
     """What is bad only in its later part teaches the dictionary of bad text."""
     r = random.Random(6)

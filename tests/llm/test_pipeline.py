@@ -75,7 +75,7 @@ def test_stage_edges(spark, sf, tmp_path, name, stage):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_twins(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     a, b = queries.queries()[name](spark, sf).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     for df in (a, b):
