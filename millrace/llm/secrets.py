@@ -31,8 +31,9 @@ LOCATION = re.compile(r"^(?:[a-z][a-z0-9+.-]*://[^@\s]*|(?:\.{0,2}/)[\w./-]*)$",
 LEAST_SCORE = 4.0
 #: Literals that a value put together from names carries on at most.
 MOST_PARTS = 64
-#: What a text must have for a name of weight 2 or more to stand in it.
-NAMED = re.compile("pass|pwd|secret|credential|token|bearer|auth|jwt|kennwort|contrase|key|private|access|signing|encryption|api|salt|client|session|cookie|dsn", re.I)
+#: What a text must have for a pair to stand in it, and for a name of weight 2 or more (looked for only after that).
+PAIRED = re.compile("[=:(<$]")
+NAMED = ("pass", "pwd", "secret", "credential", "token", "bearer", "auth", "jwt", "kennwort", "contrase", "key", "private", "access", "signing", "encryption", "api", "salt", "client", "session", "cookie", "dsn")
 
 #: What runs over lines to its closing mark: opening pattern, closing mark, group. Looked for only as long as a closing mark is ahead, so that lexing is linear.
 _OPEN = (
@@ -427,7 +428,7 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[
     if not text:
         return [], []
     base = sorted(base_spans(text))
-    more = literal_spans(text) if NAMED.search(text) and re.search("[=:(<]", text) else []
+    more = literal_spans(text) if PAIRED.search(text) and any(map(text.lower().__contains__, NAMED)) else []
     if more and base:
         starts = [a for a, _, _ in base]
         reach = list(accumulate((b for _, _, b in base), max))  # how far the spans up to each one go
