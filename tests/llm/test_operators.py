@@ -208,6 +208,101 @@ def test_decontamination_finds_whole_items(spark, sf, texts):
     assert planted and planted <= found
 
 
+def brute_templates(items, docs):
+    """(doc, item) pairs by the docstring's rule, with strings for windows and every place of every document tried."""
+    need = decontam.LITERALS
+
+    def readings(text):
+        tokens = decontam.TOKEN.findall(text or "")
+        low = [t.lower() for t in tokens]
+        number = [t[0].isdigit() or w in decontam.NUMBERS for t, w in zip(tokens, low)]
+        plain, named = [], []
+        for i, (t, w) in enumerate(zip(tokens, low)):
+            unit = w in decontam.UNITS and not number[i]
+            beside = unit and (i > 0 and number[i - 1] or i + 1 < len(tokens) and number[i + 1])
+            plain.append("<number>" if number[i] else "<unit>" if beside else w)
+            named.append("<name>" if t[0].isupper() and not number[i] and not unit else plain[-1])
+        return tokens, plain, named
+
+    literals = lambda window: sum(not x.startswith("<") for x in window)
+
+    def shortest(reading, least):
+        return next((n for n in range(least, len(reading) + 1) if max(literals(reading[i : i + n]) for i in range(len(reading) - n + 1)) >= min(need, n)), None)
+
+    known = []
+    for k, text in items:
+        tokens, plain, named = readings(text)
+        if len(tokens) < need or (n := shortest(plain, min(decontam.WINDOW, len(tokens)))) is None:
+            continue
+        look = {(n, 0, tuple(plain[i : i + n])): [] for i in range(len(plain) - n + 1) if literals(plain[i : i + n]) >= min(need, n)}
+        for m in {n, shortest(named, n)} - {None}:
+            look |= {(m, 1, tuple(named[i : i + m])): [] for i in range(len(named) - m + 1) if literals(named[i : i + m]) >= min(need, m)}
+        for m, r, w in look:
+            reading = (plain, named)[r]
+            look[m, r, w] = [i for i in range(len(reading) - m + 1) if tuple(reading[i : i + m]) == w]
+        starts = [i for i in range(len(plain) - n + 1) if literals(plain[i : i + n]) >= min(need, n)]
+        renamed = {i for i in range(len(named) - n + 1) if literals(named[i : i + n]) >= min(need, n)}
+        known.append((k, tokens, plain, named, n, look, starts, renamed))
+    out = set()
+    for d, text in docs:
+        tokens, plain, named = readings(text)
+        for k, own, ip, iname, n, look, starts, renamed in known:
+            shifts = {at - i for m, r, w in look for at in range(len(tokens) - m + 1) if tuple((plain, named)[r][at : at + m]) == w for i in look[m, r, w]}
+            found = set()
+            for shift in sorted(shifts):
+                stands = {}
+                ok = []
+                for i in starts:
+                    if 0 <= i + shift and i + shift + n <= len(tokens):
+                        p = [ip[j] == plain[j + shift] for j in range(i, i + n)]
+                        if all(x or iname[j] == named[j + shift] for x, j in zip(p, range(i, i + n))):
+                            ok.append((not all(p) and i not in renamed, i, not all(p)))
+                for _, i, as_names in sorted(ok):
+                    fresh = {}
+                    good = True
+                    for x, y in zip(own[i : i + n], tokens[i + shift : i + shift + n]):
+                        a, b = x.lower(), y.lower()
+                        slot = a != b or a[0].isdigit() or a in decontam.NUMBERS or as_names and x[0].isupper()
+                        if slot and fresh.setdefault(a, b) != b:
+                            good = False
+                            break
+                    if good and all(stands.get(a, b) == b for a, b in fresh.items()):
+                        stands.update(fresh)
+                        found.add(i)
+            share = len(found) / len(starts)
+            if 2 * len(renamed) >= len(starts) >= 2 * need:
+                share = max(share, len(found & renamed) / len(renamed))
+            if share >= decontam.THRESHOLD:
+                out.add((d, k))
+    return out
+
+
+def test_decontamination_brute_force(spark, sf, texts):
+    """All documents and items, with planted items whose numbers and names are changed, alike or not, against every place tried; clean documents have no hit."""
+    r = random.Random(13)
+    items = [(x.item_id, x.text) for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    items += [(1000, ITEM), (1001, "Anna buys 3 apples for 2 dollars and Bob buys 7 pears for 9 dollars at the same shop in Rome"), (1002, "what is the sum of 12 and 30 if both are doubled first"), (1003, "Paris Rome 1 2")]
+    docs = [(i, " ".join((t or "").split()[:400])) for i, t in list(texts.items())[:60]]
+    for n, (_, text) in enumerate(items):
+        for how in range(4):
+            new = {}
+            def change(m, new=new, how=how):
+                w = m[0]
+                if how == 0:
+                    return w
+                if how == 3:  # every place anew
+                    return str(r.randint(2, 99)) if w.isdigit() else w
+                return new.setdefault(w, str(r.randint(2, 99)) if w.isdigit() else r.choice(["Kim", "Oslo", "Ada", "Lima"]) if how == 2 else w)
+            docs.append((10_000 + 10 * n + how, "some words before it. " + re.sub(r"\b(?:\d+|[A-Z][a-z]+)\b", change, text) + " and some after"))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.find_contamination(d, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    want = brute_templates(items, docs)
+    assert got == want
+    assert {(10_000 + 10 * n, k) for n, (k, _) in enumerate(items) if k not in (1003,)} <= got and (10_000 + 10 * (len(items) - 4) + 1, 1000) in got
+    clean = [(i, t) for i, t in docs if i < 10_000 and not any(text[:40] in t for _, text in items)]
+    assert clean and not {i for i, _ in clean} & {i for i, k in got if k >= 1000}
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     """A benchmark of several blocks gives what one block gives."""
     items = [(i, ITEM.replace("60", str(i)).replace("speed", f"s{'abcdefgh'[i]}peed") + " " + " ".join(f"{'abcdefgh'[i]}{c}word" for c in "abcdefghij")) for i in range(8)]
