@@ -94,6 +94,10 @@ class Files:
         finally:
             stream.close()
 
+    def size(self, path: str) -> int:
+        fs, p = self._at(path)
+        return fs.getFileStatus(p).getLen()
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
@@ -555,15 +559,21 @@ class Catalog:
         m.files, m.props["next_auto"] = [], 1
         self._put(table, m)
 
-    def compact(self, table: str, now: Column | None = None, sort_by: list[str] | None = None) -> None:
-        """All live rows in new files, range-partitioned by a cluster key if there is one; rows past their TTL go for good."""
+    def compact(self, table: str, now: Column | None = None, sort_by: list[str] | None = None, small_bytes: int | None = None) -> None:
+        """Live rows in new files, range-partitioned by a cluster key if there is one; rows past their TTL go for good. With small_bytes only files under that size are
+        put together (if there are two or more); the others stay as they are."""
         m = self.manifest(table)
-        df = self._frame(m, m.files)
+        files = m.files if small_bytes is None else [f for f in m.files if self.fs.size(f) < small_bytes]
+        if small_bytes is not None and len(files) < 2:
+            return
+        df = self._frame(m, files)
         if m.props.get("ttl"):
             df = df.where(self._alive(m, now))
         if sort_by:
             df = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
-        m.files = self._write(table, m, df)
+        elif small_bytes is not None:
+            df = df.coalesce(max(1, sum(map(self.fs.size, files)) // max(small_bytes, 1)))
+        m.files = (self._without(m.files, files) if files else m.files) + self._write(table, m, df)
         self._put(table, m)
 
     def vacuum(self, table: str, keep: int = 1) -> int:

@@ -239,3 +239,24 @@ def test_batches_vacuum_and_foreign_keys(eng):
     with pytest.raises(TableError):
         eng.execute("INSERT INTO c VALUES (2)")
     assert eng.execute("PRAGMA information_schema_tables").count() == 4
+
+
+def test_small_files_are_put_together(eng):
+    eng.execute("CREATE TABLE t (id INT)")
+    eng.catalog.insert("t", eng.spark.range(200_000).coalesce(1))
+    large = set(eng.catalog.manifest("t").files)
+    for i in range(5):
+        eng.execute(f"INSERT INTO t VALUES ({-i})")
+    eng.catalog.compact("t", small_bytes=50_000)
+    files = set(eng.catalog.manifest("t").files)
+    assert large < files and len(files) == len(large) + 1 and eng.execute("SELECT * FROM t").count() == 200_005
+
+
+def test_command_line(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-m", "millrace", "SELECT 7 / 2 AS x"], capture_output=True, text=True, cwd=root, timeout=120)
+    assert out.returncode == 0 and "3" in out.stdout and "3.5" not in out.stdout, out.stderr[-500:]
