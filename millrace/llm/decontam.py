@@ -6,6 +6,7 @@ import re
 import uuid
 from collections import defaultdict
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -44,19 +45,21 @@ class _Words(dict):
     """Tokens to row numbers of what is known of each token."""
 
     def __init__(self):
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
+        self.hashes, self.kinds = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        self.fresh: list[tuple[int, int]] = []  # hash and kind of the tokens that are not in the arrays yet
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
-        self[token] = i = len(self.hashes)
-        self.hashes.append(_word_hash(low))
-        self.kinds.append(_NUM if token[0].isdigit() or low in NUMBERS else _UNIT if low in UNITS else _NAME if token[0].isupper() else 0)
+        self[token] = i = len(self)
+        self.fresh.append((_word_hash(low), _NUM if token[0].isdigit() or low in NUMBERS else _UNIT if low in UNITS else _NAME if token[0].isupper() else 0))
         return i
 
     def canonical(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hash and slot kind of each token, names kept as words and names as slots. first: where a text begins."""
-        h, kind = np.array(self.hashes, np.uint64)[ids], np.array(self.kinds, np.int8)[ids]
+        if self.fresh:
+            h, kind = zip(*self.fresh, strict=True)
+            self.hashes, self.kinds, self.fresh = np.concatenate([self.hashes, np.array(h, np.uint64)]), np.concatenate([self.kinds, np.array(kind, np.int8)]), []
+        h, kind = self.hashes[ids], self.kinds[ids]
         number = kind == _NUM
         beside = np.zeros(len(ids), bool)  # a unit is one only beside a number
         if len(ids) > 1:
@@ -203,7 +206,7 @@ def _scanner(index: _Index):
         total = int(ends[-1])
         if not total:
             return
-        ids = np.fromiter((words[x] for ts in tokens for x in ts), np.int64, total)
+        ids = np.fromiter(map(words.__getitem__, chain.from_iterable(tokens)), np.int64, total)
         first = np.zeros(total + 1, bool)
         first[ends - lens] = True
         first = first[:total]
