@@ -166,20 +166,28 @@ def t06(spark, d):
     return search.fuzzy_ngram(table(spark, d, "documents"), "released under the MIT license", None).select("doc_id", F.round("similarity", 9).alias("similarity"))
 
 
-@query(
-    "T07_chunk",
-    """WITH RECURSIVE c AS (
-      SELECT doc_id, text, 0 AS n, 0 AS a, CAST(0 AS BIGINT) AS e FROM documents WHERE length(text) > 0
-      UNION ALL SELECT doc_id, text, n + 1, CASE WHEN n = 0 THEN 0 ELSE greatest(e - 50, a + 1) END,
+#: Pieces of at most 500 characters of a table w (doc_id, k, title, text), that end after a space, with 50 of overlap: doc_id, k, title, n, content.
+_PIECES = """c AS (
+      SELECT doc_id, k, title, text, 0 AS n, 0 AS a, CAST(0 AS BIGINT) AS e FROM w WHERE length(text) > 0
+      UNION ALL SELECT doc_id, k, title, text, n + 1, CASE WHEN n = 0 THEN 0 ELSE greatest(e - 50, a + 1) END,
         CASE WHEN x + 500 < length(text) AND strpos(substr(text, x + 1, 500), ' ') > 0 THEN x + length(substr(text, x + 1, 500)) - strpos(reverse(substr(text, x + 1, 500)), ' ') + 1 ELSE least(x + 500, length(text)) END
-      FROM (SELECT *, CASE WHEN n = 0 THEN 0 ELSE greatest(e - 50, a + 1) END AS x FROM c) WHERE n = 0 OR e < length(text))
-    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS chunk_no, '' AS title, substr(text, a + 1, e - a) AS content FROM c WHERE n > 0 AND regexp_matches(substr(text, a + 1, e - a), '\\S')""",
-)
+      FROM (SELECT *, CASE WHEN n = 0 THEN 0 ELSE greatest(e - 50, a + 1) END AS x FROM c) WHERE n = 0 OR e < length(text)),
+    p AS (SELECT doc_id, k, title, n, substr(text, a + 1, e - a) AS content FROM c WHERE n > 0 AND regexp_matches(substr(text, a + 1, e - a), '\\S'))"""
+
+
+@query("T07_chunk", f"WITH RECURSIVE w AS (SELECT doc_id, 0 AS k, '' AS title, text FROM documents), {_PIECES} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS chunk_no, title, content FROM p")
 def t07(spark, d):
     return chunk_documents(table(spark, d, "documents"), size=500, overlap=50)
 
 
-@query("T07_chunk_markdown")
+@query(
+    "T07_chunk_markdown",
+    f"""WITH RECURSIVE h AS (SELECT doc_id, string_split_regex(text, '(?m)^#{{1,6}}[ \\t]+.*$') AS s, list_prepend('', regexp_extract_all(text, '(?m)^#{{1,6}}[ \\t]+(.*?)[ \\t]*#*[ \\t]*$', 1)) AS t FROM documents),
+    u AS (SELECT *, unnest(range(1, len(s) + 1)) AS k FROM h),
+    w AS (SELECT doc_id, k, t[k] AS title, trim(s[k], chr(10)) AS text FROM u WHERE t[k] <> '' OR regexp_matches(s[k], '\\S')), {_PIECES},
+    e AS (SELECT doc_id, k, title, n, content FROM p UNION ALL SELECT doc_id, k, title, 1, '' FROM w WHERE (doc_id, k) NOT IN (SELECT (doc_id, k) FROM p))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, n) - 1 AS INT) AS chunk_no, title, content FROM e""",
+)
 def t07m(spark, d):
     return chunk_documents(table(spark, d, "documents"), size=500, overlap=50, markdown=True)
 

@@ -260,3 +260,24 @@ def test_command_line(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = subprocess.run([sys.executable, "-m", "millrace", "SELECT 7 / 2 AS x"], capture_output=True, text=True, cwd=root, timeout=120)
     assert out.returncode == 0 and "3" in out.stdout and "3.5" not in out.stdout, out.stderr[-500:]
+
+
+def test_rewritten_texts_are_remembered_by_types(eng, monkeypatch):
+    from millrace.operators import engine
+
+    calls = []
+    monkeypatch.setattr(engine, "checked", lambda spark, text, plain=engine.checked: calls.append(text) or plain(spark, text))
+    eng.execute("CREATE TABLE t (a INT)")
+    eng.execute("INSERT INTO t VALUES (7)")
+    for _ in range(3):
+        assert rows(eng.execute("SELECT a / 2 AS h FROM t")) == [(3,)]
+    assert len(calls) == 1
+    eng.execute("DROP TABLE t")
+    eng.execute("CREATE TABLE t (a DOUBLE)")
+    eng.execute("INSERT INTO t VALUES (7)")
+    assert rows(eng.execute("SELECT a / 2 AS h FROM t")) == [(3.5,)] and len(calls) == 2
+    for kind, want in (("int", 3), ("double", 3.5)):
+        eng.register("millrace_v", eng.spark.createDataFrame([(7,)], "a int").selectExpr(f"CAST(a AS {kind}) AS a"))
+        assert rows(eng.execute("SELECT a / 2 AS h FROM millrace_v")) == [(want,)]
+        eng.spark.createDataFrame([(7,)], "a int").selectExpr(f"CAST(a AS {kind}) AS a").createOrReplaceTempView("millrace_unknown")
+        assert rows(eng.execute("SELECT a / 2 AS h FROM millrace_unknown")) == [(want,)]
