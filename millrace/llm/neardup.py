@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import free_name, hot_keys, lists_of, lower_words_of, map_batches, scratch, spread_join, written
+from millrace.llm.common import HOT_ROWS, free_name, hot_keys, lists_of, lower_words_of, map_batches, scratch, spread_join, written
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -93,10 +93,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     hubs = hot_keys(both.groupBy("b").agg(F.count(F.lit(1)).alias("n")), ["b"])
     labels = both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("node"), F.least("a", "l").alias("label"))
     labels = written(labels, "labels")
+    many = labels.count() > HOT_ROWS  # else no label can be hot
     for _ in range(max_rounds):
         near = spread_join(both, labels.select(F.col("node").alias("b"), "label"), ["b"], hot=hubs).groupBy("a").agg(F.min("label").alias("near")).select(F.col("a").alias("node"), "near")
-        step = written(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("to")), "labels")
-        large = hot_keys(step.groupBy("to").agg(F.count(F.lit(1)).alias("n")), ["to"])
+        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("to"))
+        step = written(step, "labels") if many else step
+        large = hot_keys(step.groupBy("to").agg(F.count(F.lit(1)).alias("n")), ["to"]) if many else None
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("next"))
         after = written(spread_join(step, jump, ["to"], "left", large).select("node", "label", F.least("to", "next").alias("new")), "labels")
         changed = after.where("new <> label").limit(1).count()

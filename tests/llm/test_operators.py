@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, langid, license, mixing, neardup, quality_clf, quality_rules, queries, secrets, tokens, warc
+from millrace.llm import common, decontam, langid, license, mixing, neardup, quality_clf, quality_rules, queries, secrets, tokens, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -607,6 +607,28 @@ def test_near_duplicate_family_near_the_threshold(spark):
     check_components(neardup.near_duplicates(d).collect(), rows)
 
 
+def test_near_duplicates_with_hot_keys(spark, monkeypatch):
+    """Every key of more than three rows is dealt over several tasks: copies, lists, heads and labels alike; the result stays that of brute force."""
+    r = random.Random(21)
+    base = [f"h{r.randrange(900)}" for _ in range(90)]
+    rows = [(i, " ".join(base)) for i in range(12)] + [(100 + i, None) for i in range(8)]
+    for i in range(40):
+        t = list(base)
+        for _ in range(r.randint(1, 3)):
+            t[r.randrange(len(t))] = f"n{r.randrange(9000)}"
+        rows.append((20 + i, " ".join(t)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    for m in (common, neardup):
+        monkeypatch.setattr(m, "HOT_ROWS", 3)
+    check_components(neardup.near_duplicates(d).collect(), rows)
+    left = spark.createDataFrame([(i % 3, i) for i in range(50)] + [(9, 9)], "k int, v int")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (5, "c")], "k int, w string")
+    hot = common.hot_keys(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"])
+    assert hot.count() == 3
+    for how in ("inner", "left"):
+        assert sorted(map(tuple, common.spread_join(left, right, ["k"], how, hot).collect()), key=str) == sorted(map(tuple, left.join(right, ["k"], how).collect()), key=str)
+
+
 def test_near_duplicate_ids_repeated_with_other_texts(spark):
     one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = [("3", one), ("5", one), ("5", two), ("9", two), ("7", "c d e"), ("7", "f g h")]
