@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from millrace.llm.common import WORD, written
 SYMBOLS = "#*$%&|<>"
 #: Share of good documents that all rules together may reject in a stratum, and the chance that this is exceeded anywhere.
 RISK, ERROR = 0.02, 0.05
-#: Of a stratum's labelled good documents this share, PATH_ROWS in expectation at most, shapes the chain of cutoffs; all others test it. Of the
-#: bad ones PATH_ROWS in expectation shape it.
-PATH_SHARE, PATH_ROWS = 0.2, 2000
+#: This share of a stratum's labelled good documents, and all of its bad ones, shape the chain of cutoffs; all other good ones test it.
+PATH_SHARE = 0.2
+#: Up to so many different rows of steps (see thresholds) are counted on the driver, more by Spark.
+DRIVER_ROWS = 50_000
 
 #: Rule: (statistic over the measures below, cutoffs from lax to strict). Rows at or above a cutoff are rejected.
 GRID = [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03]
@@ -88,23 +90,25 @@ def binomial_tail(k: str, n: str, p: float) -> Column:
           a -> a.sum)""")
 
 
-def path(rows: list[tuple[bool, tuple[int, ...], int]]) -> list[tuple[int, ...]]:
+Counts = list[tuple[list[int], list[int]]]
+
+
+def _no_counts() -> Counts:
+    return [([0] * len(grid), [0] * len(grid)) for _, grid in RULES.values()]
+
+
+def chain(counts: Callable[[tuple[int, ...]], Counts]) -> list[tuple[int, ...]]:
     """Sets of cutoffs, each at least as strict as the one before: for each rule its step in the grid, -1 while it is off.
 
-    rows: whether good, each rule's first step that rejects (the grid's length if none does), how many such documents. A set is made from the last
+    counts: of the documents that a set does not reject, how many good and how many bad ones each rule rejects from each step on. A set is made from the last
     by the one change that rejects the fewest more good rows, of these the most more bad ones, of these with the laxest step. When no
     change rejects more bad rows, the rules in use become stricter by turns for as long as no more good rows go.
     """
     rules = list(RULES)
     at, out = (-1,) * len(rules), []
-    left = list(rows)  # rows that are not rejected yet
     while True:
-        best = None
-        for r, name in enumerate(rules):
-            good, bad = [0] * len(RULES[name][1]), [0] * len(RULES[name][1])
-            for ok, first, n in left:
-                if first[r] < len(good):
-                    (good if ok else bad)[first[r]] += n
+        best, left = None, counts(at)
+        for r, (good, bad) in enumerate(left):
             g = b = 0
             for j in range(len(good)):
                 g, b = g + good[j], b + bad[j]
@@ -115,12 +119,11 @@ def path(rows: list[tuple[bool, tuple[int, ...], int]]) -> list[tuple[int, ...]]
         (_, _, j), r = best
         at = (*at[:r], j, *at[r + 1 :])
         out.append(at)
-        left = [x for x in left if x[1][r] > j]
     open_ = [r for r in range(len(rules)) if at[r] >= 0]
     while open_:
         for r in list(open_):
             j = at[r] + 1
-            if j == len(RULES[rules[r]][1]) or any(x[0] and x[1][r] <= j for x in left):
+            if j == len(RULES[rules[r]][1]) or any(left[r][0][: j + 1]):
                 open_.remove(r)
                 continue
             at = (*at[:r], j, *at[r + 1 :])
@@ -128,6 +131,41 @@ def path(rows: list[tuple[bool, tuple[int, ...], int]]) -> list[tuple[int, ...]]
     return out
 
 
+def path(rows: list[tuple[bool, tuple[int, ...], int]]) -> list[tuple[int, ...]]:
+    """The chain for rows on the driver: whether good, each rule's first step that rejects (the grid's length if none does), how many such documents."""
+    left = list(rows)  # rows that are not rejected yet
+
+    def counts(at: tuple[int, ...]) -> Counts:
+        left[:] = [x for x in left if not any(f <= j for f, j in zip(x[1], at, strict=True))]
+        out = _no_counts()
+        for ok, first, n in left:
+            for r, f in enumerate(first):
+                if f < len(out[r][0]):
+                    out[r][0 if ok else 1][f] += n
+        return out
+
+    return chain(counts)
+
+
+def _rejected(at: tuple[int, ...]) -> str:
+    return " or ".join(f"f_{i} <= {j}" for i, j in enumerate(at) if j >= 0) or "false"
+
+
+def wide_path(rows: DataFrame) -> list[tuple[int, ...]]:
+    """The chain for rows (good, f_0, f_1, ..., n) that are too many for the driver: one aggregation for each set, which gives a count for each step."""
+    firsts = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.col(f"f_{i}").alias("step")) for i in range(len(RULES))]))
+
+    def counts(at: tuple[int, ...]) -> Counts:
+        out = _no_counts()
+        left = rows.where(f"not ({_rejected(at)})").select("good", "n", firsts.alias("first"))
+        for x in left.groupBy("good", "first.rule", "first.step").agg(F.sum("n").alias("n")).collect():
+            if x.step < len(out[x.rule][0]):
+                out[x.rule][0 if x.good else 1][x.step] = x.n
+        return out
+
+    return chain(counts)
+
+
 def merged(good: dict[str, int], risk: float, error: float) -> list[tuple[str, ...]]:
     """The strata in groups of neighbours that are tested as one. good: labelled good documents of each stratum.
 
@@ -148,13 +186,14 @@ def merged(good: dict[str, int], risk: float, error: float) -> list[tuple[str, .
 def thresholds(m: DataFrame, labels: DataFrame, *, label_col: str = "quality", label_id: str = "doc_id", risk: float = RISK, error: float = ERROR) -> dict[str, dict[str, float]]:
     """stratum: rule: cutoff, the strictest set of cutoffs of each stratum whose false rejections are proven to be few.
 
-    The rules are tested together, by split fixed-sequence testing: each stratum has one chain of sets of cutoffs, lax to strict (see path), made from bad
+    The rules are tested together, by split fixed-sequence testing: each stratum has one chain of sets of cutoffs, lax to strict (see chain), made from all bad
     documents and PATH_SHARE of the good ones. All other good documents test it: of n of them k are rejected by any rule of a set, and
     P(Binomial(n, risk) <= k) must not exceed error / strata. Testing stops at the first set that fails, so a chain costs one test's error. With
     probability 1 - error every stratum loses at most risk of its good documents to all rules together. A stratum whose first test fails, as it
     must with fewer than least_good(risk, error, strata) good documents to test, has no cutoffs, so it rejects nothing; to spare that, strata with few labels are
-    tested as one with a neighbour (see merged), and then have its cutoffs. What shapes the chains is bounded and
-    goes to the driver; what tests them is one aggregation over all labelled documents with a sum for each set.
+    tested as one with a neighbour (see merged), and then have its cutoffs. Every labelled document that passes the base rules has its part, none is left
+    out: a good one shapes or tests, as no proof holds on documents that shaped what it proves. What shapes the chains is counted by each rule's first step
+    that rejects; up to DRIVER_ROWS such counts go to the driver, else Spark counts anew for each set. What tests them is one aggregation with a sum for each set.
     """
     rules = list(RULES)
     known = labels.select(F.col(f"`{label_id}`").alias("doc_id"), F.col(f"`{label_col}`").alias("label")).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg((F.max("label") == 1).alias("good"))
@@ -162,29 +201,26 @@ def thresholds(m: DataFrame, labels: DataFrame, *, label_col: str = "quality", l
     firsts = [F.when(f < 0, len(RULES[r][1])).otherwise(f).cast("int").alias(f"f_{i}") for i, (r, f) in enumerate(zip(rules, firsts, strict=True))]
     held = m.join(known, "doc_id").where(~_base_failed())
     held = written(held.select(F.expr(STRATA).alias("stratum"), "good", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) / float(1 << 24)).alias("u"), *firsts), "labelled")
-    n = {(r.stratum, r.good): r.n for r in held.groupBy("stratum", "good").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not any(good for _, good in n):
+    n = {r.stratum: r.n for r in held.where("good").groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n:
         return {}
-    groups = merged({s: n.get((s, True), 0) for s in NAMES}, risk, error)
+    groups = merged(n, risk, error)
     of = {s: "+".join(g) for g in groups for s in g}
     names = ["+".join(g) for g in groups]
     held = held.withColumn("stratum", F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), F.col("stratum")))
-    m = {}
-    for (s, good), k in n.items():
-        m[of[s], good] = m.get((of[s], good), 0) + k
-    n = m
-    share = F.element_at(F.create_map(*[F.lit(x) for (s, good), k in n.items() for x in (f"{s} {good}", min(PATH_SHARE if good else 1.0, PATH_ROWS / k))]), F.concat_ws(" ", "stratum", F.when(F.col("good"), "True").otherwise("False")))
     steps = [f"f_{i}" for i in range(len(rules))]
-    seen = held.where(F.col("u") < share).groupBy("stratum", "good", *steps).agg(F.count(F.lit(1)).alias("n")).collect()
-    paths = {s: path([(r.good, tuple(r[f] for f in steps), r.n) for r in sorted(seen) if r.stratum == s]) for s in names}
+    shapes = ~F.col("good") | (F.col("u") < PATH_SHARE)
+    seen = written(held.where(shapes).groupBy("stratum", "good", *steps).agg(F.count(F.lit(1)).alias("n")), "steps")
+    if seen.count() > DRIVER_ROWS:
+        paths = {s: wide_path(seen.where(F.col("stratum") == s)) for s in names}
+    else:
+        rows = sorted(seen.collect())
+        paths = {s: path([(r.good, tuple(r[f] for f in steps), r.n) for r in rows if r.stratum == s]) for s in names}
     if not any(paths.values()):
         return {}
 
-    def rejected(at: tuple[int, ...]) -> str:
-        return " or ".join(f"f_{i} <= {j}" for i, j in enumerate(at) if j >= 0)
-
-    sums = [F.struct(F.lit(s).alias("stratum"), F.lit(k).alias("step"), F.sum(F.expr(f"CASE WHEN stratum = '{s}' THEN 1L ELSE 0L END")).alias("n"), F.sum(F.expr(f"CASE WHEN stratum = '{s}' AND ({rejected(at)}) THEN 1L ELSE 0L END")).alias("k")) for s in names for k, at in enumerate(paths[s])]
-    t = held.where("good").where(F.col("u") >= share).agg(F.array(*sums).alias("t")).select(F.explode("t").alias("t")).select("t.*")
+    sums = [F.struct(F.lit(s).alias("stratum"), F.lit(k).alias("step"), F.sum(F.expr(f"CASE WHEN stratum = '{s}' THEN 1L ELSE 0L END")).alias("n"), F.sum(F.expr(f"CASE WHEN stratum = '{s}' AND ({_rejected(at)}) THEN 1L ELSE 0L END")).alias("k")) for s in names for k, at in enumerate(paths[s])]
+    t = held.where(~shapes).agg(F.array(*sums).alias("t")).select(F.explode("t").alias("t")).select("t.*")
     passed = (F.col("n") > 0) & F.when(F.col("k") > F.col("n") * risk, F.lit(False)).otherwise(binomial_tail("k", "n", risk) <= error / len(names))
     ok = {(r.stratum, r.step): r.ok for r in t.select("stratum", "step", passed.alias("ok")).collect()}
     out = {}

@@ -523,6 +523,45 @@ def test_rules_brute_force(spark):
     assert cutoffs and any(not r.kept and not r.base_failed for r in got.values())
 
 
+def test_rules_use_every_label(spark, monkeypatch):
+    """Beyond thousands of labels, too, each one counts: rare kinds of junk get their cutoffs, and cutoffs are those of a chain over all labelled rows."""
+    r = random.Random(4)
+    u = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) / float(1 << 24)).alias("u")
+    hashed = {x.doc_id: x.u for x in spark.range(19000).select(F.col("id").alias("doc_id")).select("doc_id", u).collect()}
+    # bad rows: nearly all have symbols; ten, which no sample by hash would have, have marks or capitals instead
+    rare = sorted(range(13000, 19000), key=hashed.get)[-10:]
+    rows = [(i, True, 0, int(r.random() < 0.01) * r.randint(1, 20), int(r.random() < 0.01) * r.randint(1, 30)) for i in range(13000)]
+    rows += [(i, False, r.randint(10, 100), 0, 0) for i in range(13000, 19000) if i not in rare]
+    rows += [(i, False, 0, 31 + k, 0) if k % 2 else (i, False, 0, 0, 41 + k) for k, i in enumerate(rare)]
+    m = spark.createDataFrame([(i, 100, s, 0, k, c) for i, _, s, k, c in rows], "doc_id bigint, n_words bigint, n_symbols bigint, n_dup_lines bigint, n_marks bigint, n_capitals bigint")
+    m = m.selectExpr("*", "0L as n_repeat_words", "10L as n_lines", "500L as word_chars")
+    labels = spark.createDataFrame([(i, int(good)) for i, good, *_ in rows], "doc_id bigint, quality int")
+    cut = quality_rules.thresholds(m, labels)
+    rules = list(quality_rules.RULES)
+
+    def first(s, k, c):
+        stats = {"symbols": s / 100, "marks": k / 100, "capitals": c / 500, "long_words": 5.0}
+        return tuple(next((j for j, x in enumerate(quality_rules.RULES[q][1]) if stats.get(q, 0) >= x), len(quality_rules.RULES[q][1])) for q in rules)
+
+    of = {i: first(*x) for i, _, *x in rows}
+    shape = Counter((good, of[i]) for i, good, *_ in rows if not good or hashed[i] < quality_rules.PATH_SHARE)
+    assert sum(n for (good, _), n in shape.items() if not good) == 6000
+    test = [of[i] for i, good, *_ in rows if good and hashed[i] >= quality_rules.PATH_SHARE]
+    at = None
+    for step in quality_rules.path(sorted((g, f, n) for (g, f), n in shape.items())):
+        k, n, term, tail = sum(any(f <= j for f, j in zip(x, step)) for x in test), len(test), math.log(0.98) * len(test), 0.0
+        for x in range(k + 1):
+            tail += math.exp(term)
+            term += math.log((n - x) / (x + 1) * 0.02 / 0.98)
+        if tail > 0.05:  # labels are of short texts only, so all strata are tested as one
+            break
+        at = step
+    want = {q: quality_rules.RULES[q][1][j] for q, j in zip(rules, at) if j >= 0}
+    assert cut == {s: want for s in quality_rules.NAMES} and {"symbols", "marks", "capitals"} <= set(want)
+    monkeypatch.setattr(quality_rules, "DRIVER_ROWS", 0)  # the way for more rows than the driver takes
+    assert quality_rules.thresholds(m, labels) == cut
+
+
 # --- 6 near-duplicates --------------------------------------------------------------------------------------------
 
 
