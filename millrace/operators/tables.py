@@ -53,6 +53,12 @@ class Manifest:
         return json.dumps(self.__dict__)
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """A side of a join by key, which is to be shuffled and sorted. Left alone, Spark takes the size of its files, where keys are packed to a fraction of their size in
+    memory, for that of its rows, and sends millions of them through the driver to all executors."""
+    return df.hint("merge")
+
+
 class Files:
     """The few file operations that manifests need, through Hadoop's interface, so any store that Spark can write serves."""
 
@@ -441,14 +447,14 @@ class Catalog:
         keys = self._keys(m)
         self._unique(df, keys, table)
         for key in keys if against is not None else []:
-            if df.select(*key).join(against.select(*key), key, "left_semi").limit(1).count():
+            if df.select(*key).join(_sorted(against.select(*key)), key, "left_semi").limit(1).count():
                 raise TableError(f"{table}: ({', '.join(key)}) exists already")
         for fk in m.props.get("foreign_keys", []):
             if not fk.get("enforced"):
                 continue
             there = self.read(fk["table"]).select(*[F.col(r).alias(c) for c, r in zip(fk["columns"], fk["references"], strict=True)])
             present = df.select(*fk["columns"]).dropna()
-            if present.join(there, fk["columns"], "left_anti").limit(1).count():
+            if present.join(_sorted(there), fk["columns"], "left_anti").limit(1).count():
                 raise TableError(f"{table}: ({', '.join(fk['columns'])}) is not in {fk['table']}")
 
     def insert(self, table: str, df: DataFrame) -> DataFrame:
@@ -485,17 +491,17 @@ class Catalog:
         if not files:
             return self._upserted(table, m, rows, None, None, files, [])
         old = self._frame(m, files, with_file=True)
-        fresh = rows.join(old.select(*key), key, "left_anti").select(*names)
+        fresh = rows.join(_sorted(old.select(*key)), key, "left_anti").select(*names)
         if update is None:
             return self._upserted(table, m, fresh, None, old.drop("__file"), files, [])
         given = {c.lower(): c for c in update}
         e = rows.select(*[F.col(f"`{c}`").alias(f"excluded__{c}") for c in names])
         on = [F.col(f"o.`{c}`") == F.col(f"excluded__{c}") for c in key]
         values = {c["name"]: F.expr(re.sub(r"\bexcluded\s*\.\s*`?(\w+)`?", r"excluded__\1", update[given[c["name"].lower()]], flags=re.I)).cast(c["type"]) for c in m.columns if c["name"].lower() in given}
-        changed = old.alias("o").join(e, on).select(*[values[c].alias(c) if c in values else F.col(f"o.`{c}`") for c in names], F.col("__file"))
+        changed = old.alias("o").join(_sorted(e), on).select(*[values[c].alias(c) if c in values else F.col(f"o.`{c}`") for c in names], F.col("__file"))
         changed = self._stable(changed)
         touched = [r[0] for r in changed.select("__file").distinct().collect()]  # files, not rows
-        rest = old.join(rows.select(*key), key, "left_anti").select(*names, "__file")
+        rest = old.join(_sorted(rows.select(*key)), key, "left_anti").select(*names, "__file")
         return self._upserted(table, m, fresh, changed.select(*names), rest, files, touched)
 
     def _upserted(self, table: str, m: Manifest, fresh: DataFrame, changed: DataFrame | None, rest: DataFrame | None, files: list[str], touched: list[str]) -> DataFrame:

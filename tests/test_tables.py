@@ -281,3 +281,19 @@ def test_rewritten_texts_are_remembered_by_types(eng, monkeypatch):
         assert rows(eng.execute("SELECT a / 2 AS h FROM millrace_v")) == [(want,)]
         eng.spark.createDataFrame([(7,)], "a int").selectExpr(f"CAST(a AS {kind}) AS a").createOrReplaceTempView("millrace_unknown")
         assert rows(eng.execute("SELECT a / 2 AS h FROM millrace_unknown")) == [(want,)]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Any table that a join would send through the driver to all executors is an error."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_replace_sends_no_rows_through_the_driver(eng, no_broadcast):
+    eng.execute("CREATE TABLE t (k INT PRIMARY KEY, v INT)")
+    eng.execute("INSERT INTO t VALUES (1, 1), (2, 2)")
+    eng.execute("INSERT OR IGNORE INTO t VALUES (1, 5), (3, 3)")
+    eng.execute("REPLACE INTO t VALUES (2, 7), (4, 4)")
+    assert rows(eng.execute("SELECT * FROM t")) == [(1, 1), (2, 7), (3, 3), (4, 4)]
