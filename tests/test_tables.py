@@ -297,3 +297,10 @@ def test_replace_sends_no_rows_through_the_driver(eng, no_broadcast):
     eng.execute("INSERT OR IGNORE INTO t VALUES (1, 5), (3, 3)")
     eng.execute("REPLACE INTO t VALUES (2, 7), (4, 4)")
     assert rows(eng.execute("SELECT * FROM t")) == [(1, 1), (2, 7), (3, 3), (4, 4)]
+
+
+def test_upsert_returns_rows_without_the_driver(eng, no_broadcast):
+    eng.execute("CREATE TABLE t (k INT PRIMARY KEY, v VARCHAR)")
+    eng.execute("INSERT INTO t VALUES (1, ''), (2, '')")
+    got = eng.execute("INSERT INTO t VALUES (2, 'new'), (3, 'new') ON CONFLICT (k) DO UPDATE SET v = 'old' RETURNING k, v")
+    assert rows(got) == [(2, "old"), (3, "new")]
