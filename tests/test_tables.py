@@ -304,3 +304,10 @@ def test_upsert_returns_rows_without_the_driver(eng, no_broadcast):
     eng.execute("INSERT INTO t VALUES (1, ''), (2, '')")
     got = eng.execute("INSERT INTO t VALUES (2, 'new'), (3, 'new') ON CONFLICT (k) DO UPDATE SET v = 'old' RETURNING k, v")
     assert rows(got) == [(2, "old"), (3, "new")]
+
+
+def test_upsert_of_nothing_sends_no_rows_through_the_driver(eng, no_broadcast):
+    eng.execute("CREATE TABLE t (k INT PRIMARY KEY, v INT)")
+    eng.execute("INSERT INTO t VALUES (1, 1), (2, 2)")
+    eng.execute("INSERT INTO t VALUES (2, 9), (3, 3) ON CONFLICT DO NOTHING")
+    assert rows(eng.execute("SELECT * FROM t")) == [(1, 1), (2, 2), (3, 3)]
