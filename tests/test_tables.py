@@ -311,3 +311,14 @@ def test_upsert_of_nothing_sends_no_rows_through_the_driver(eng, no_broadcast):
     eng.execute("INSERT INTO t VALUES (1, 1), (2, 2)")
     eng.execute("INSERT INTO t VALUES (2, 9), (3, 3) ON CONFLICT DO NOTHING")
     assert rows(eng.execute("SELECT * FROM t")) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_upsert_update_and_foreign_key_send_no_rows_through_the_driver(eng, no_broadcast):
+    eng.execute("CREATE TABLE c (c INT PRIMARY KEY)")
+    eng.execute("INSERT INTO c VALUES (1), (2)")
+    eng.execute("CREATE TABLE t (k INT PRIMARY KEY, c INT, v INT, FOREIGN KEY (c) REFERENCES c (c) ENFORCED)")
+    eng.execute("INSERT INTO t VALUES (1, 1, 1), (2, 2, 2)")
+    eng.execute("INSERT INTO t VALUES (2, 1, 5), (3, 2, 3) ON CONFLICT (k) DO UPDATE SET v = v + excluded.v")
+    assert rows(eng.execute("SELECT * FROM t")) == [(1, 1, 1), (2, 2, 7), (3, 2, 3)]
+    with pytest.raises(TableError):
+        eng.execute("INSERT INTO t VALUES (4, 9, 1)")
