@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.batches import parts, prepare, trimmed
 from millrace.session import fresh_path, remove, scratch, written  # noqa: F401 - for the operators
 
 #: A word, as Spark's and DuckDB's regular expressions write it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one key that a join leaves to one task, and the keys with more that are made known to all tasks at most.
 HOT_ROWS, HOT_KEYS = 50_000, 200_000
-#: Bytes of rows that go to a Python worker at once, and that it turns into objects at once.
-BATCH_BYTES, PART_BYTES = 8 << 20, 4 << 20
 
 _ARROW = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.DoubleType(): pa.float64(), T.StringType(): pa.string(), T.BooleanType(): pa.bool_(), T.BinaryType(): pa.binary(), T.ArrayType(T.LongType()): pa.list_(pa.int64())}
 
@@ -73,37 +71,6 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return a.join(b, [*keys, "salt"], how).select(*names)
 
 
-def _prepare(spark: SparkSession) -> None:
-    """Batches for Python are of BATCH_BYTES, unless the session says otherwise. Workers beside this driver find this package where the driver found it; elsewhere it is
-    installed, or shipped with --py-files."""
-    key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-    if spark.conf.get(key, usual) == usual:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH", ""), root]))
-
-
-def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same batches; at their end the worker, which waits for its next task, gives back what memory it has free."""
-    try:
-        yield from batches
-    finally:
-        import ctypes
-
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
-
-
-def _parts(b: pa.RecordBatch, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in runs of about so many bytes: a bound on what a worker holds as Python objects. Rows stay whole."""
-    rows = max(1, int(b.num_rows * most / max(b.nbytes, most)))
-    for a in range(0, b.num_rows, rows):
-        yield b.slice(a, rows)
-
-
 def _array(values, kind: pa.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values, kind)
 
@@ -129,14 +96,14 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], fields: list[T.Stru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for b in batches:
-            for part in _parts(b):
+            for part in parts(b):
                 got = fn(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in inputs))
                 arrays = [part.column(part.schema.get_field_index(c)) for c in names] + [_array(x, k) for x, k in zip(got, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, *(f.name for f in fields)])
 
-    _prepare(df.sparkSession)
+    prepare(df.sparkSession)
     needed = list(dict.fromkeys([*names, *inputs]))
-    return df.select(*[F.col(f"`{c}`") for c in needed]).mapInArrow(lambda batches: _trimmed(run(batches)), schema)
+    return df.select(*[F.col(f"`{c}`") for c in needed]).mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
 def flat_map_batches(df: DataFrame, make: Callable[[], Callable], schema: T.StructType, inputs: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -149,7 +116,7 @@ def flat_map_batches(df: DataFrame, make: Callable[[], Callable], schema: T.Stru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for b in batches:
-            for part in _parts(b):
+            for part in parts(b):
                 got = fn(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in inputs))
                 kept = []
                 if keep is not None:
@@ -157,5 +124,5 @@ def flat_map_batches(df: DataFrame, make: Callable[[], Callable], schema: T.Stru
                     kept = [part.column(part.schema.get_field_index(c)).take(pa.array(at, pa.int64())) for c in names]
                 yield pa.RecordBatch.from_arrays([*kept, *(_array(x, k) for x, k in zip(got, kinds, strict=True))], names=[f.name for f in full])
 
-    _prepare(df.sparkSession)
-    return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, *inputs])]).mapInArrow(lambda batches: _trimmed(run(batches)), full)
+    prepare(df.sparkSession)
+    return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, *inputs])]).mapInArrow(lambda batches: trimmed(run(batches)), full)

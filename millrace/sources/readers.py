@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.batches import PART_BYTES, parts, prepare, trimmed
+
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
@@ -32,8 +35,6 @@ def to_arrow(df: DataFrame):
 
 def to_ipc(df: DataFrame) -> bytes:
     """An Arrow IPC stream of a result that fits the driver."""
-    import pyarrow as pa
-
     t, sink = df.toArrow(), pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, t.schema) as w:
         w.write_table(t)
@@ -41,8 +42,6 @@ def to_ipc(df: DataFrame) -> bytes:
 
 
 def from_ipc(spark: SparkSession, data: bytes) -> DataFrame:
-    import pyarrow as pa
-
     return spark.createDataFrame(pa.ipc.open_stream(data).read_all())
 
 
@@ -60,41 +59,63 @@ def markdown_sections(text: str) -> list[tuple[str, str]]:
 def windows_of(text: str, size: int, overlap: int) -> list[str]:
     """Pieces of at most so many characters that end after their last space, if they have one and are not the last; each begins overlap characters before the end of the one
     before (one character after its beginning at least). Blank pieces are left out."""
-    out, start = [], 0
+    return list(_windows(text, size, overlap))
+
+
+def _windows(text: str, size: int, overlap: int) -> Iterator[str]:
+    start = 0
     while start < len(text):
         end = min(start + size, len(text))
         if end < len(text) and (space := text.rfind(" ", start, end)) >= 0:
             end = space + 1
         if text[start:end].strip():
-            out.append(text[start:end])
+            yield text[start:end]
         if end >= len(text):
             break
         start = max(end - overlap, start + 1)
-    return out
 
 
 def chunk_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 500, overlap: int = 50, markdown: bool = False, embed: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
     """doc_id, chunk_no (from 0), title, content and, with embed, embedding, of every chunk.
 
     Chunks are Markdown sections, cut further where they are longer than size, or simply pieces of a text (see windows_of). Each piece's beginning depends on
-    the one before, so they are cut in Python, in Arrow batches. embed maps a pandas Series of contents to one of float lists, batch by batch.
+    the one before, so they are cut in Python, in Arrow batches of bounded bytes, and leave it by PART_BYTES characters. embed maps a pandas Series of contents to one of float lists, batch by batch.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
     d = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
+    def pieces(text):
+        if not markdown:
+            yield from (("", p) for p in _windows(text, size, overlap))
+            return
+        for title, body in markdown_sections(text):
+            p = None
+            for p in _windows(body, size, overlap):
+                yield title, p
+            if p is None:
+                yield title, ""
+
     def run(batches):
         for b in batches:
-            rows = []
-            for i, t in zip(b.doc_id, b.text, strict=True):
-                if markdown:
-                    pieces = [(title, p) for title, body in markdown_sections(t or "") for p in (windows_of(body, size, overlap) or [""])]
-                else:
-                    pieces = [("", p) for p in windows_of(t or "", size, overlap)]
-                rows += [(i, k, title, p) for k, (title, p) in enumerate(pieces)]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "title", "content"])
-
-    out = d.mapInPandas(run, f"doc_id {df.schema[id_col].dataType.simpleString()}, chunk_no int, title string, content string")
+            for part in parts(b):
+                at, numbers, titles, contents, held = [], [], [], [], 0
+                for i, t in enumerate(part.column(1)):
+                    for k, (title, p) in enumerate(pieces(t.as_py() or "")):
+                        at.append(i), numbers.append(k), titles.append(title), contents.append(p)
+                        held += len(p)
+                        if held >= PART_BYTES:
+                            yield chunks(part, at, numbers, titles, contents)
+                            at, numbers, titles, contents, held = [], [], [], [], 0
+                if at:
+                    yield chunks(part, at, numbers, titles, contents)
+
+    def chunks(part, at, numbers, titles, contents):
+        arrays = [part.column(0).take(pa.array(at)), pa.array(numbers, pa.int32()), pa.array(titles, pa.string()), pa.array(contents, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "chunk_no", "title", "content"])
+
+    prepare(df.sparkSession)
+    out = d.mapInArrow(lambda batches: trimmed(run(batches)), f"doc_id {df.schema[id_col].dataType.simpleString()}, chunk_no int, title string, content string")
     if embed is not None:
         out = out.withColumn("embedding", F.pandas_udf(embed, "array<float>")("content"))
     return out

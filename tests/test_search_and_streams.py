@@ -171,6 +171,16 @@ def test_inverted_file(spark, tmp_path):
     assert first not in top and top[0] == 10**6 and index.trace(q, 2).first().top[0] == 10**6
 
 
+def test_chunks_in_bounded_batches(spark):
+    """A long text's pieces leave a worker, and go to the embedding, in batches of bounded bytes."""
+    import pandas as pd
+
+    d = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word. "), 3_000_000).alias("text"))
+    got = readers.chunk_documents(d, size=4000, overlap=0, embed=lambda s: pd.Series([[float(len(s))]] * len(s)))
+    r = got.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"), F.max(F.col("embedding")[0]).alias("most"), F.count_distinct("chunk_no").alias("numbers")).first()
+    assert r.chars == 18_000_000 and r.n == r.numbers == 4505 and r.most * 4000 < 12_000_000
+
+
 def test_inverted_file_in_passes(spark, tmp_path, monkeypatch):
     """Blocks of queries and rows give what all pairs in SQL give, to the last bit, with ties by id of any type; a cell's rows are in more tasks than one, and no join by cell gathers them."""
     from millrace.functions.dialect import install
