@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from array import array
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.batches import PART_BYTES, parts, prepare
+
 #: The classes' characters. Classes are tried in this order, and what none takes is a symbol.
 CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}"
 PUNCTUATION = r"!-/:-@\[-`{-~\x{2000}-\x{206F}\x{3000}-\x{303F}\x{FE10}-\x{FE1F}\x{FE30}-\x{FE4F}\x{FF00}-\x{FF0F}\x{FF1A}-\x{FF1F}\x{FF3B}-\x{FF3F}\x{FF5B}-\x{FF65}"
 SPACE = r"\s\x{85}\p{Z}"
 #: The identifier of a character that the vocabulary lacks.
 UNKNOWN = 2**32 - 1
+#: Characters of the segments whose identifiers a worker keeps.
+MEMO_CHARS = 1_000_000
 
 _CLASSES = {
     "cjk": f"[{CJK}]", "space": f"[{SPACE}]", "digit": "[0-9]", "letter": rf"[\p{{IsAlphabetic}}&&[^{CJK}]]", "punct": f"[{PUNCTUATION}&&[^{SPACE}]]",
@@ -46,11 +52,10 @@ class Bpe:
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
         self.vocabulary, self.ranks = vocabulary, {p: k for k, p in enumerate(merges)}
-        self.memo: dict[str, list[str]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.held = 0  # characters of the segments in memo
 
     def pieces(self, segment: str) -> list[str]:
-        if (known := self.memo.get(segment)) is not None:
-            return known
         parts = list(segment)
         while len(parts) > 1:
             rank, pair = min(((self.ranks.get(p, len(self.ranks)), p) for p in zip(parts, parts[1:])), key=lambda x: x[0])
@@ -62,30 +67,48 @@ class Bpe:
                 out.append(parts[k] + parts[k + 1] if both else parts[k])
                 k += 2 if both else 1
             parts = out
-        if len(segment) <= 64:
-            if len(self.memo) >= 200_000:
-                self.memo.clear()
-            self.memo[segment] = parts
         return parts
 
+    def ids(self, segment: str) -> tuple[int, ...]:
+        """The identifiers of a segment's pieces; those of short segments are kept, up to MEMO_CHARS characters of them."""
+        if (known := self.memo.get(segment)) is None:
+            known = tuple(self.vocabulary.get(p, UNKNOWN) for p in self.pieces(segment))
+            if len(segment) <= 64:
+                if self.held + len(segment) > MEMO_CHARS:
+                    self.memo.clear()
+                    self.held = 0
+                self.memo[segment] = known
+                self.held += len(segment)
+        return known
+
     def encode(self, segments) -> list[int]:
-        return [self.vocabulary.get(p, UNKNOWN) for s in segments for p in self.pieces(s)]
+        return [i for s in segments for i in self.ids(s)]
 
 
 _BUILT: dict[str, Bpe] = {}
 
 
 def encode(df: DataFrame, vocabulary: dict[str, int], merges: list[tuple[str, str]], *, text_col: str = "text", out: str = "tokens") -> DataFrame:
-    """df with the token identifiers of each whole text. Segments are built in the JVM; merges run in Arrow batches, with the words that were seen kept by each worker."""
+    """df with the token identifiers of each whole text. Segments are built in the JVM; merges run in Arrow batches of bounded bytes, with as many of the words that were seen as MEMO_CHARS allows kept by each worker."""
     spark: SparkSession = df.sparkSession
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, vocabulary, merges))  # a vocabulary, which the caller holds in memory
 
-    @F.pandas_udf("array<bigint>")
-    def run(s: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<bigint>")
+    def run(s: pa.Array) -> pa.Array:
         key, v, m = shared.value
         if key not in _BUILT:
             _BUILT.clear()
             _BUILT[key] = Bpe(v, m)
-        return pd.Series([_BUILT[key].encode(x) for x in s])
-
+        done = [lists_of(part, _BUILT[key]) for part in parts(s, PART_BYTES // 4)]
+        return pa.concat_arrays(done or [pa.array([], pa.list_(pa.int64()))])
+
+    def lists_of(part: pa.Array, bpe: Bpe) -> pa.Array:
+        values, ends = array("q"), [0]
+        for x in part:
+            for segment in x.as_py():
+                values.extend(bpe.ids(segment))
+            ends.append(len(values))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int64)) if len(values) else pa.array([], pa.int64()))
+
+    prepare(spark)
     return df.withColumn(out, run(segments(F.col(f"`{text_col}`"))))

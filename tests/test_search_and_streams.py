@@ -141,6 +141,23 @@ def test_segments_and_merges():
     assert own.encode(["a?", "b"]) == [vocabulary["a"], UNKNOWN, vocabulary["b"]]
 
 
+def test_merges_in_bounded_memory(spark, monkeypatch):
+    """What a worker keeps of seen words is bounded in characters, and results do not depend on the parts in which texts become objects."""
+    from millrace.operators import tokenizer
+
+    vocabulary, merges = {"a": 1, "b": 2, "ab": 3}, [("a", "b")]
+    monkeypatch.setattr(tokenizer, "MEMO_CHARS", 200)
+    own = tokenizer.Bpe(vocabulary, merges)
+    for i in range(300):
+        word = f"{i:08b}".replace("0", "a").replace("1", "b") * 3
+        assert own.encode([word]) == own.encode([word]) == [vocabulary[p] for p in own.pieces(word)]
+        assert sum(map(len, own.memo)) <= 200
+    monkeypatch.setattr(tokenizer, "PART_BYTES", 100)
+    d = spark.createDataFrame([(i, "ab ba " * (i % 40)) for i in range(200)] + [(200, None)], "doc_id int, text string").coalesce(1)
+    got = {r.doc_id: r.tokens for r in tokenizer.encode(d, vocabulary, merges).collect()}
+    assert got == {i: [3, tokenizer.UNKNOWN, 2, 1, tokenizer.UNKNOWN] * (i % 40) for i in range(200)} | {200: []}
+
+
 def test_segments_of_classes(spark):
     from millrace.operators import tokenizer
 
