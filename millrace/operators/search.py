@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millrace.batches import parts, prepare, trimmed
 from millrace.functions.dialect import call, install
 
 #: Runs of letters, digits, underscores and hyphens, lower-cased.
@@ -122,12 +128,36 @@ def tokenize(query: str) -> list[str]:
 
 
 def postings(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", only: list[str] | None = None) -> DataFrame:
-    """token, doc_id, tf, doc_len: the inverted index. With only, just these tokens' postings are made, so nothing else is shuffled."""
+    """token, doc_id, tf, doc_len: the inverted index. With only, just these tokens' postings are made.
+
+    A row's tokens are counted where the row is, so no posting is shuffled, unless some id has more rows than one: ids are counted first.
+    """
     d = df.select(F.col(f"`{id_col}`").alias("doc_id"), tokens(F.col(f"`{text_col}`")).alias("t"))
     d = d.withColumn("doc_len", F.size("t").cast("long"))
     if only is not None:
         d = d.withColumn("t", F.filter("t", lambda x: x.isin(list(dict.fromkeys(only)) or [""])))
-    return d.select("doc_id", "doc_len", F.explode("t").alias("token")).groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+    prepare(df.sparkSession)
+    schema = T.StructType([T.StructField("token", T.StringType()), d.schema["doc_id"], T.StructField("tf", T.LongType()), T.StructField("doc_len", T.LongType())])
+    p = d.mapInArrow(lambda batches: trimmed(_counted(batches)), schema)
+    shared_id = df.groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if shared_id.isEmpty():
+        return p
+    return p.groupBy("token", "doc_id").agg(F.sum("tf").alias("tf"), F.first("doc_len").alias("doc_len"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, doc_id, tf and doc_len of each distinct token of each row (doc_id, t, doc_len)."""
+    for b in batches:
+        for part in parts(b):
+            at, found, times = [], [], []
+            for i, t in enumerate(part.column(1)):
+                n = Counter(t.as_py())
+                at += [i] * len(n)
+                found += n
+                times += n.values()
+            if at:
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), part.column(0).take(at), pa.array(times, pa.int64()), part.column(2).take(at)], names=["token", "doc_id", "tf", "doc_len"])
 
 
 def search_tokens(df: DataFrame, query: str, *, mode: str = "or", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

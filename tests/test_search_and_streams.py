@@ -158,6 +158,18 @@ def test_merges_in_bounded_memory(spark, monkeypatch):
     assert got == {i: [3, tokenizer.UNKNOWN, 2, 1, tokenizer.UNKNOWN] * (i % 40) for i in range(200)} | {200: []}
 
 
+def test_postings_are_counted_in_their_rows(spark):
+    """No posting is shuffled; ids that rows share, and null ids, still have one posting a token."""
+    d = spark.createDataFrame([(1, "a b A é"), (2, None), (3, ""), (4, "b"), (None, "c c")], "doc_id int, text string")
+    p = search.postings(d)
+    assert p.columns == ["token", "doc_id", "tf", "doc_len"] and "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
+    key = lambda x: tuple(map(str, x))
+    assert sorted(map(tuple, p.collect()), key=key) == sorted([("a", 1, 2, 4), ("b", 1, 1, 4), ("b", 4, 1, 1), ("c", None, 2, 2), ("é", 1, 1, 4)], key=key)
+    assert sorted(map(tuple, search.postings(d, only=["b"]).collect())) == [("b", 1, 1, 4), ("b", 4, 1, 1)]
+    twice = search.postings(d.unionAll(d)).collect()
+    assert sorted(((r.token, r.doc_id, r.tf, r.doc_len) for r in twice), key=key) == sorted([("a", 1, 4, 4), ("b", 1, 2, 4), ("b", 4, 2, 1), ("c", None, 4, 2), ("é", 1, 2, 4)], key=key)
+
+
 def test_segments_of_classes(spark):
     from millrace.operators import tokenizer
 
