@@ -170,6 +170,19 @@ def test_postings_are_counted_in_their_rows(spark):
     assert sorted(((r.token, r.doc_id, r.tf, r.doc_len) for r in twice), key=key) == sorted([("a", 1, 4, 4), ("b", 1, 2, 4), ("b", 4, 2, 1), ("c", None, 4, 2), ("é", 1, 2, 4)], key=key)
 
 
+def test_text_index_shuffles_postings_once(spark, tmp_path, monkeypatch):
+    """Postings that are added go to their place in the order of tokens, and are not shuffled before."""
+    from millrace.operators.tables import Catalog
+    from millrace.operators.text_index import TextIndex
+
+    plans, insert = [], Catalog.insert
+    monkeypatch.setattr(Catalog, "insert", lambda self, t, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or insert(self, t, df))
+    index = TextIndex(Catalog(spark, f"file://{tmp_path}/db"), "d")
+    index.add(spark.createDataFrame([(1, "a b a"), (2, "b")], "doc_id long, text string"))
+    assert [p.count("Exchange ") for p in plans] == [1, 0]
+    assert sorted(r.doc_id for r in index.search("b").collect()) == [1, 2]
+
+
 def test_segments_of_classes(spark):
     from millrace.operators import tokenizer
 
